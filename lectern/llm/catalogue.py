@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm import plainform, terms
-from lectern.session import table
+from lectern.llm import plainform, residue, terms
+from lectern.session import spread, table
 
 
 def _title_records(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -51,8 +51,24 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p2_plain_values(spark, sf_dir).where("value <> plain").select("field", "row_idx")
 
 
+def _abstracts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spread(table(spark, sf_dir, "abstracts").select("abstract_id", "dblp_key", "source", "abstract"))
+
+
+def p4_residue(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Abstracts that hold residue, with the best exemplar."""
+    abstracts = _abstracts(spark, sf_dir)
+    found = residue.residue_rows(abstracts, "abstract", residue.fit_residue_index(abstracts, "abstract"))
+    return found.select("abstract_id", "source", "residue.label", "residue.exemplar", "residue.score")
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Abstracts that hold residue."""
+    return p4_residue(spark, sf_dir).select("abstract_id")
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (p1_term_counts, p1_found, p2_plain_values, p2_found)}
+    return {f.__name__: f for f in (p1_term_counts, p1_found, p2_plain_values, p2_found, p4_residue, p4_found)}
 
 
 def oracle_sql() -> dict:
