@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm import plainform, residue, terms
-from lectern.session import spread, table
+from lectern.llm import plainform, residue, terms, truncation
+from lectern.session import cut, spread, table
 
 
 def _title_records(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -55,6 +55,26 @@ def _abstracts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spread(table(spark, sf_dir, "abstracts").select("abstract_id", "dblp_key", "source", "abstract"))
 
 
+def p3_cut_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every abstract without residue, with the verdict on its ending. Rows with residue are no texts that could be cut."""
+    abstracts = _abstracts(spark, sf_dir)
+    kept = residue.without_residue(abstracts, "abstract", residue.fit_residue_index(abstracts, "abstract"))
+    return truncation.mark_cut(cut(kept, "kept"), "abstract_id", "source", "abstract")
+
+
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Abstracts cut in mid-word or mid-sentence."""
+    return p3_cut_texts(spark, sf_dir).where("is_cut").select("abstract_id")
+
+
+def p3_share_by_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How often each source truncates. The share is of all rows of the source."""
+    marked = p3_cut_texts(spark, sf_dir)
+    all_rows = table(spark, sf_dir, "abstracts").select("abstract_id", "source")
+    full = all_rows.join(marked.select("abstract_id", "is_cut"), "abstract_id", "left").withColumn("is_cut", F.coalesce("is_cut", F.lit(False)))
+    return truncation.share_by_source(full, "source")
+
+
 def p4_residue(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Abstracts that hold residue, with the best exemplar."""
     abstracts = _abstracts(spark, sf_dir)
@@ -68,7 +88,7 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (p1_term_counts, p1_found, p2_plain_values, p2_found, p4_residue, p4_found)}
+    return {f.__name__: f for f in (p1_term_counts, p1_found, p2_plain_values, p2_found, p3_cut_texts, p3_found, p3_share_by_source, p4_residue, p4_found)}
 
 
 def oracle_sql() -> dict:
