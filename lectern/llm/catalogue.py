@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm import plainform, residue, terms, truncation
+from lectern.llm import matching, plainform, residue, terms, truncation
 from lectern.session import cut, spread, table
 
 
@@ -87,8 +87,27 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p4_residue(spark, sf_dir).select("abstract_id")
 
 
+def p5_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of the same publication in papers (valid row per key) and works, with a confidence."""
+    papers = table(spark, sf_dir, "papers")
+    works = table(spark, sf_dir, "works").select("work_id", "display_name", "publication_year", "doi")
+    scores = plainform.fit_letter_pairs(papers.select("title"), works.select("display_name"))
+    valid = terms.valid_rows(papers, "dblp_key", "row_idx", "title", "year", "doi")
+    left = valid.withColumn("title", plainform.plain_form("title", scores))
+    right = works.withColumn("display_name", plainform.plain_form("display_name", scores))
+    pairs = matching.match_pairs(left, right, ("dblp_key", "title", "year", "doi"), ("work_id", "display_name", "publication_year", "doi"))
+    return matching.assign(pairs).select(
+        F.col("left_id").alias("dblp_key"), F.col("right_id").cast("bigint").alias("work_id"), "confidence"
+    )
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of the same publication."""
+    return p5_matches(spark, sf_dir).select("dblp_key", "work_id")
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (p1_term_counts, p1_found, p2_plain_values, p2_found, p3_cut_texts, p3_found, p3_share_by_source, p4_residue, p4_found)}
+    return {f.__name__: f for f in (p1_term_counts, p1_found, p2_plain_values, p2_found, p3_cut_texts, p3_found, p3_share_by_source, p4_residue, p4_found, p5_matches, p5_found)}
 
 
 def oracle_sql() -> dict:
