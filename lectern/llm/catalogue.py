@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm import matching, plainform, residue, terms, truncation
+from lectern.llm import leakage, matching, plainform, residue, terms, truncation
 from lectern.session import cut, spread, table
 
 
@@ -106,8 +106,24 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p5_matches(spark, sf_dir).select("dblp_key", "work_id")
 
 
+def p7_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that carry sentences of evaluation passages, with the number of sentences and the best coverage."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return leakage.find_leaks(docs, "doc_id", "text", table(spark, sf_dir, "eval_items"), "item_id", "text")
+
+
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with the items they carry."""
+    return p7_leaks(spark, sf_dir).select("doc_id", "item_id")
+
+
+def p7_leaked_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each item that leaked, with the number of documents that carry it."""
+    return p7_leaks(spark, sf_dir).groupBy("item_id").agg(F.count("*").alias("documents"), F.max("sentences").alias("most_sentences"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (p1_term_counts, p1_found, p2_plain_values, p2_found, p3_cut_texts, p3_found, p3_share_by_source, p4_residue, p4_found, p5_matches, p5_found)}
+    return {f.__name__: f for f in (p1_term_counts, p1_found, p2_plain_values, p2_found, p3_cut_texts, p3_found, p3_share_by_source, p4_residue, p4_found, p5_matches, p5_found, p7_leaks, p7_found, p7_leaked_items)}
 
 
 def oracle_sql() -> dict:
