@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm import leakage, matching, plainform, residue, terms, truncation
+from lectern.llm import leakage, matching, plainform, residue, subjects, terms, truncation
 from lectern.session import cut, spread, table
 
 
@@ -122,8 +122,28 @@ def p7_leaked_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p7_leaks(spark, sf_dir).groupBy("item_id").agg(F.count("*").alias("documents"), F.max("sentences").alias("most_sentences"))
 
 
+def p8_areas(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Subject areas of every document, with the number of sentences on each."""
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    areas = [r.topic_id for r in table(spark, sf_dir, "topics").orderBy("ord").collect()]
+    model = subjects.fit_areas(docs, "doc_id", "text", table(spark, sf_dir, "topic_labels"), "topic_id", areas)
+    return subjects.areas_of(docs, "doc_id", "text", model).withColumnRenamed("area", "topic_id")
+
+
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Subject areas of every document."""
+    return p8_areas(spark, sf_dir).select("doc_id", "topic_id")
+
+
+def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Share of each subject area in the corpus."""
+    n = table(spark, sf_dir, "documents").count()
+    counts = p8_areas(spark, sf_dir).groupBy("topic_id").agg(F.count("*").alias("documents"))
+    return counts.withColumn("share", F.col("documents") / F.lit(max(n, 1)))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (p1_term_counts, p1_found, p2_plain_values, p2_found, p3_cut_texts, p3_found, p3_share_by_source, p4_residue, p4_found, p5_matches, p5_found, p7_leaks, p7_found, p7_leaked_items)}
+    return {f.__name__: f for f in (p1_term_counts, p1_found, p2_plain_values, p2_found, p3_cut_texts, p3_found, p3_share_by_source, p4_residue, p4_found, p5_matches, p5_found, p7_leaks, p7_found, p7_leaked_items, p8_areas, p8_found, p8_shares)}
 
 
 def oracle_sql() -> dict:
