@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm import leakage, matching, plainform, residue, subjects, terms, truncation
+from lectern.llm import leakage, matching, packing, plainform, residue, subjects, terms, truncation
 from lectern.session import cut, spread, table
 
 
@@ -106,6 +108,22 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p5_matches(spark, sf_dir).select("dblp_key", "work_id")
 
 
+#: Rank file of a public byte-level BPE; a path, so that another tokenizer can be named.
+TOKENIZER = os.environ.get("LECTERN_TOKENIZER", "/opt/tokenizers/byte_bpe_50k.tiktoken")
+
+
+def p6_packed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Container of every document (or piece of one) for each capacity."""
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    sizes = packing.count_tokens(docs, "doc_id", "text", TOKENIZER)
+    return packing.pack(sizes, "doc_id", "tokens", table(spark, sf_dir, "pack_sizes"), "pack_id", "capacity_tokens")
+
+
+def p6_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Containers used and room left for each capacity."""
+    return packing.fill_report(p6_packed(spark, sf_dir), table(spark, sf_dir, "pack_sizes"), "pack_id", "capacity_tokens")
+
+
 def p7_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents that carry sentences of evaluation passages, with the number of sentences and the best coverage."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -143,7 +161,7 @@ def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (p1_term_counts, p1_found, p2_plain_values, p2_found, p3_cut_texts, p3_found, p3_share_by_source, p4_residue, p4_found, p5_matches, p5_found, p7_leaks, p7_found, p7_leaked_items, p8_areas, p8_found, p8_shares)}
+    return {f.__name__: f for f in (p1_term_counts, p1_found, p2_plain_values, p2_found, p3_cut_texts, p3_found, p3_share_by_source, p4_residue, p4_found, p5_matches, p5_found, p6_packed, p6_fill, p7_leaks, p7_found, p7_leaked_items, p8_areas, p8_found, p8_shares)}
 
 
 def oracle_sql() -> dict:
