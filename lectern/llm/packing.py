@@ -5,7 +5,7 @@ class, and so do containers with an equal gap, so both sides are run-length enco
 range of ranks. In each round the runs of texts, largest first, are swept against the runs of gaps: a text goes to
 the smallest gap that holds it (its successor); where several runs want one gap, ranks decide and the rest sweep on;
 then all gaps are updated and the next round begins. Rounds go down through the sizes by halves; texts of the current
-half that no gap holds open as many new containers as their volume needs. One task plans each capacity; it holds
+half that no gap can hold open as many new containers as their volume needs. One task plans each capacity; it holds
 runs, whose number is bounded by capacity and rounds, not by the number of texts. Each text then finds its run by size
 and rank.
 
@@ -120,10 +120,13 @@ def plan(sizes: np.ndarray, counts: np.ndarray, capacity: int) -> list[tuple[int
                     rank[s] += n
                     left[s] -= n
                     fresh.append((gap - s, first, n))
-            if unfit:
-                volume = sum(s * left[s] for s in unfit)
-                need = max(-(-volume // capacity), sum(left[s] for s in unfit if s > capacity / 2))
-                for s in unfit:
+            # only texts that no gap of the next round can hold open new containers
+            widest = max((g for g, _, _ in fresh), default=0)
+            stuck = [s for s in unfit if s > widest]
+            if stuck:
+                volume = sum(s * left[s] for s in stuck)
+                need = max(-(-volume // capacity), sum(left[s] for s in stuck if s > capacity / 2))
+                for s in stuck:
                     n = min(left[s], need)
                     if n:
                         out.append((s, rank[s], n, opened))
