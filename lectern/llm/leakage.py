@@ -1,9 +1,10 @@
 """Evaluation passages inside training text.
 
 A positional inverted index over the training documents holds postings ``(term, doc, position)`` of the passages'
-own terms. For each sentence of a passage the rarest terms (by their frequency in the index) are looked up, their
-positions shifted by the term's place in the sentence, and the lists intersected: places where at least two of the
-rarest terms meet at one shift are candidates. A candidate's neighbourhood is then aligned with the whole sentence;
+own terms; a term is a pair of neighbouring tokens, since a pair is far rarer than its tokens, and one changed word
+spoils two pairs only. For each sentence of a passage the rarest terms (by their frequency in the index) are looked
+up, their positions shifted by the term's place in the sentence, and the lists intersected: places where at least two
+of the rarest terms meet at one shift are candidates. A candidate's neighbourhood is then aligned with the whole sentence;
 exact phrases and near ones (words changed, left out or put in) come out with their coverage.
 
 What counts as a passage: all sentences of an item but its question (the last one) and the instruction lines
@@ -18,21 +19,22 @@ from __future__ import annotations
 
 import re
 from collections import Counter
+from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lectern.session import cut
 
-RAREST, MEET, SLACK = 5, 2, 3
+RAREST, MEET, SLACK = 8, 2, 3
 COVERAGE, SHORTEST = 0.82, 8
 #: A term in more than this share of the sentences leads to no sentence in particular.
 LEADS = 0.02
 #: Rows up to which a side may be sent to every task; beyond it both sides are shuffled.
 SMALL = 200_000
 BREAK = re.compile(r"(?<!\bDr)(?<!\bMr)(?<!\bMrs)(?<!\bProf)(?<!\bSt)(?<!\bNo)(?<!\bvs)(?<!\be\.g)(?<!\bi\.e)(?<=[.!?])[\"'”’)]?\s+")
-TOKEN_SPLIT = r"[^\p{L}\p{M}\p{N}]+"
 _TOKENS = re.compile(r"[^\W_]+")
 
 
@@ -53,26 +55,61 @@ def passage_sentences(items: list[tuple[int, str]]) -> list[tuple[int, int, list
     return out
 
 
+def pairs_of(tokens: list[str]) -> list[str]:
+    return [f"{a} {b}" for a, b in zip(tokens, tokens[1:], strict=False)]
+
+
 def leading_terms(sentences: list[tuple[int, int, list[str]]]) -> dict[str, list[tuple[int, int]]]:
     """Terms to index, with their ``(sentence, place)``: those in few sentences, at least RAREST + 2 of each sentence."""
-    spread = Counter(t for _, _, tokens in sentences for t in set(tokens))
+    spread = Counter(t for _, _, tokens in sentences for t in set(pairs_of(tokens)))
     limit = max(3, LEADS * len(sentences))
     out: dict[str, list[tuple[int, int]]] = {}
     for number, _, tokens in sentences:
-        ranked = sorted(set(tokens), key=lambda t: (spread[t], t))
+        pairs = pairs_of(tokens)
+        ranked = sorted(set(pairs), key=lambda t: (spread[t], t))
         keep = {t for i, t in enumerate(ranked) if spread[t] <= limit or i < RAREST + 2}
-        for place, t in enumerate(tokens):
+        for place, t in enumerate(pairs):
             if t in keep:
                 out.setdefault(t, []).append((number, place))
     return out
 
 
-def build_postings(docs: DataFrame, id_col: str, text_col: str, terms: DataFrame) -> DataFrame:
-    """The index: ``term, doc, position`` for the given terms, over all documents, as a written table."""
-    words = docs.where(F.col(text_col).isNotNull()).select(
-        F.col(id_col).alias("doc"), F.posexplode(F.split(F.lower(F.regexp_replace(text_col, r"\A" + TOKEN_SPLIT, "")), TOKEN_SPLIT)).alias("position", "term")
-    )
-    return cut(words.join(terms, "term", "left_semi"), "postings")
+def build_postings(docs: DataFrame, id_col: str, text_col: str, terms: list[str]) -> DataFrame:
+    """The index: ``term, doc, position`` for the given terms, over all documents, as a written table.
+
+    ``term`` is the term's place in the list. Tokens become numbers by one look-up each; pairs are then numbers too.
+    """
+    words = {w: i for i, w in enumerate(sorted({w for t in terms for w in t.split(" ")}), 1)}
+    width = len(words) + 1
+    codes = np.array([words[a] * width + words[b] for a, b in (t.split(" ") for t in terms)], dtype=np.int64)
+    order = np.argsort(codes)
+    sent = docs.sparkSession.sparkContext.broadcast((words, codes[order], order.astype(np.int32)))
+    kind = dict(docs.dtypes)[id_col]
+
+    def post(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        number, known, term_of = sent.value
+        get = number.get
+        for b in batches:
+            flat, lengths = [], []
+            for text in b["_text"]:
+                found = _TOKENS.findall(text.lower())
+                flat += [get(w, 0) for w in found]
+                flat.append(0)  # no pair goes from one text into the next
+                lengths.append(len(found) + 1)
+            if not flat:
+                continue
+            ids = np.array(flat, dtype=np.int64)
+            code = ids[:-1] * width + ids[1:]
+            at = np.flatnonzero((ids[:-1] > 0) & (ids[1:] > 0))
+            k = np.minimum(np.searchsorted(known, code[at]), len(known) - 1)
+            hit = known[k] == code[at]
+            at, k = at[hit], k[hit]
+            starts = np.concatenate([[0], np.cumsum(lengths)[:-1]])
+            doc = np.searchsorted(starts, at, "right") - 1
+            yield pd.DataFrame({"term": term_of[k], "doc": b["_doc"].to_numpy()[doc], "position": (at - starts[doc]).astype(np.int32)})
+
+    texts = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("_doc"), F.col(text_col).alias("_text"))
+    return cut(texts.mapInPandas(post, f"term int, doc {kind}, position int"), "postings")
 
 
 def _candidates(postings: DataFrame, leads: DataFrame) -> DataFrame:
@@ -123,14 +160,13 @@ def find_leaks(docs: DataFrame, doc_id: str, doc_text: str, items: DataFrame, it
     spark = docs.sparkSession
     rows = items.select(item_id, item_text).orderBy(item_id).toPandas()
     sentences = passage_sentences(list(zip(rows[item_id].tolist(), rows[item_text].tolist(), strict=True)))
+    if not sentences:
+        return docs.select(F.col(doc_id), F.lit(0).cast("bigint").alias(item_id), F.lit(0).cast("bigint").alias("sentences"), F.lit(0.0).alias("coverage")).limit(0)
     leads_of = leading_terms(sentences)
-    lead_rows = [(t, n, p) for t, places in leads_of.items() for n, p in places]
-    leads = spark.createDataFrame(pd.DataFrame(lead_rows, columns=["term", "sentence", "place"]), "term string, sentence int, place int")
-    terms = leads.select("term").distinct()
-    if len(leads_of) <= SMALL:
-        terms = F.broadcast(terms)
+    lead_rows = [(i, n, p) for i, places in enumerate(leads_of.values()) for n, p in places]
+    leads = spark.createDataFrame(pd.DataFrame(lead_rows, columns=["term", "sentence", "place"]), "term int, sentence int, place int")
     texts = docs.select(F.col(doc_id).alias("doc"), F.col(doc_text).alias("text"))
-    found = cut(_candidates(build_postings(texts, "doc", "text", terms), leads), "candidates")
+    found = cut(_candidates(build_postings(texts, "doc", "text", list(leads_of)), leads), "candidates")
     places = found.groupBy("doc").agg(F.collect_set(F.struct("sentence", "at")).alias("places"))
     if found.count() <= SMALL:
         places = F.broadcast(places)
