@@ -15,6 +15,7 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter, defaultdict
+from operator import eq
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -115,6 +116,7 @@ SHAPES = {
 }
 SURE = tuple(n for n in SHAPES if n != "markup")
 _SHAPE = re.compile("|".join(f"(?P<{n}>{p})" for n, p in SHAPES.items()))
+_OPENING = re.compile(r"[{<%$\[@#_]+")
 _WORD = re.compile(r"[^\W\d_]+(?:['’\-][^\W\d_]+)*|\d+|⟦\w+⟧")
 _CJK = re.compile(r"[぀-ヿ㐀-䶿一-鿿가-힣]")
 _HOME_ROW = re.compile(r"[asdfghjkl]{4,}\Z")
@@ -124,24 +126,46 @@ BOUND = {"scripts": 0.68, "error": 0.68, "template": 0.75, "filler": 0.75}
 LOREM_SHARE, LOREM_WINDOW, ECHO = 0.16, 12, 5
 
 
+def _marked(text: str) -> str:
+    """Placeholders replaced by shape tokens. Only places with a character that can open one are tried."""
+    parts, at = [], 0
+    for opening in _OPENING.finditer(text):
+        for i in range(max(at, opening.start()), opening.end()):
+            if m := _SHAPE.match(text, i):
+                parts += [text[at:i], f" ⟦{m.lastgroup}⟧ "]
+                at = m.end()
+                break
+    return "".join([*parts, text[at:]]) if parts else text
+
+
+def _word_tokens(w: str) -> tuple[str, ...]:
+    if w[0] == "⟦":
+        return (w,)
+    if w[0].isdigit():
+        return ("0",)
+    if _CJK.match(w):
+        return tuple(w)
+    if _HOME_ROW.match(w) and w not in _HOME_WORDS and not w.startswith("asdf"):
+        return ("⟦mash⟧",)
+    return ("⟦xs⟧",) if len(w) >= 3 and set(w) == {"x"} else (w,)
+
+
+_seen: dict[str, tuple[str, ...]] = {}
+
+
 def tokens_of(text: str) -> list[str]:
     """Lower-case words, numbers as ``0``, CJK characters one by one, placeholders as shape tokens."""
-    marked = _SHAPE.sub(lambda m: f" ⟦{m.lastgroup}⟧ ", text)
-    out = []
-    for w in _WORD.findall(marked.lower()):
-        if w[0] == "⟦":
-            out.append(w)
-        elif w[0].isdigit():
-            out.append("0")
-        elif _CJK.match(w):
-            out.extend(w)
-        elif _HOME_ROW.match(w) and w not in _HOME_WORDS and not w.startswith("asdf"):
-            out.append("⟦mash⟧")
-        elif len(w) >= 3 and set(w) == {"x"}:
-            out.append("⟦xs⟧")
-        else:
-            out.append(w)
+    if len(_seen) > 300_000:
+        _seen.clear()
+    out: list[str] = []
+    for w in _WORD.findall(_marked(text).lower()):
+        tokens = _seen.get(w)
+        if tokens is None:
+            tokens = _seen[w] = _word_tokens(w)
+        out += tokens
     for period in (1, 2, 3):
+        if sum(map(eq, out, out[period:])) < (ECHO - 1) * period:
+            continue
         run = 0
         for i in range(period, len(out)):
             run = run + 1 if out[i] == out[i - period] and len(out[i]) > 2 else 0
@@ -186,12 +210,15 @@ class ResidueIndex:
         self.lorem = frozenset(LOREM.split()) - {"sit", "ea", "et", "ut", "sed", "est", "sint", "labore", "quis"}
 
     def score(self, text: str) -> tuple[float, str, str]:
-        """The best containment over the exemplar's bound, with label and exemplar; at 1 or more a text is residue."""
+        """The best containment over the exemplar's bound, with label and exemplar: residue at 1 or more, else perhaps 0."""
         tokens = tokens_of(text)
-        retrieved = {k for t in set(tokens) if t in self.anchors for k in self.anchors[t]}
+        have = set(tokens)
+        retrieved = {k for t in have if t in self.anchors for k in self.anchors[t]}
         best = (0.0, "", "")
         for k in retrieved:
             kind, name, need, w, total, width = self.items[k]
+            if sum(w[t] * n for t, n in need.items() if t in have) < BOUND[kind] * total:
+                continue  # not even the whole text holds enough of it
             places = [i for i, t in enumerate(tokens) if t in need]
             held: Counter = Counter()
             mass = peak = 0.0
