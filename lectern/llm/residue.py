@@ -155,7 +155,7 @@ _seen: dict[str, tuple[str, ...]] = {}
 
 def tokens_of(text: str) -> list[str]:
     """Lower-case words, numbers as ``0``, CJK characters one by one, placeholders as shape tokens."""
-    if len(_seen) > 300_000:
+    if len(_seen) > 100_000:
         _seen.clear()
     out: list[str] = []
     for w in _WORD.findall(_marked(text).lower()):
