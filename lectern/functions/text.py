@@ -7,6 +7,7 @@ import html
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lectern.functions import dims
 
@@ -14,7 +15,7 @@ from lectern.functions import dims
 SPACE = r"[\s\x1c-\x1f]"
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _unescape(texts: pd.Series) -> pd.Series:
     return texts.map(html.unescape, na_action="ignore")
 
@@ -35,8 +36,12 @@ def collapse_space(c: Column) -> Column:
 
 
 def classify(title: Column, rules=None) -> Column:
-    """Array of topic ids whose rule matches, in rule order; ``['other']`` if none does. NULL is read as empty."""
-    text = F.coalesce(title, F.lit(""))
+    """Array of topic ids whose rule matches, in rule order; ``['other']`` if none does. NULL is read as empty.
+
+    Java counts marks and joiners as parts of words, the rules were written for a dialect that does not: they become a
+    character that is part of no word.
+    """
+    text = F.regexp_replace(F.coalesce(title, F.lit("")), r"[\p{M}\u200c\u200d]", "\u200b")
     marks = [F.when(text.rlike("(?iU)" + pattern), F.lit(topic)) for topic, _, _, pattern in dims.topic_rules(rules)]
     hits = F.array_compact(F.array(*marks))
     return F.when(F.size(hits) > 0, hits).otherwise(F.array(F.lit(dims.OTHER)))

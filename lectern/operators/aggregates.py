@@ -107,10 +107,11 @@ def overview(papers: DataFrame) -> DataFrame:
         F.count_distinct(F.struct("venue", "year")).alias("editions"),
         F.min("year").alias("year_min"),
         F.max("year").alias("year_max"),
-        F.bround(1 - F.count_if(is_other) / F.count("*"), 4).alias("coverage"),
+        F.bround(1 - F.try_divide(F.count_if(is_other), F.count("*")), 4).alias("coverage"),
         F.bround(F.avg(F.size("labels")), 2).alias("avg_labels"),
     )
-    return main.join(names, how="full")  # one row with one row
+    both = main.unionByName(names, allowMissingColumns=True)
+    return both.agg(*[F.max(c).alias(c) for c in both.columns])
 
 
 def venue_summary(papers: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectern.functions import text
+from lectern.functions import dims, text
 from lectern.operators import aggregates, windows
 
 
@@ -46,8 +46,7 @@ def with_dimension(df: DataFrame, dim: DataFrame, key: str) -> DataFrame:
 
 def rule_matches(df: DataFrame, title: str, rules: list[tuple[str, str, str, str]]) -> DataFrame:
     """Each row with each rule it matches. The list of rules is a parameter, so it goes into the row, not into a join."""
-    marks = F.array(*[F.when(F.coalesce(title, F.lit("")).rlike("(?iU)" + p), F.lit(t)) for t, _, _, p in rules])
-    return df.withColumn("topic", F.explode(F.array_compact(marks)))
+    return df.withColumn("topic", F.explode(text.classify(F.col(title), rules))).where(F.col("topic") != dims.OTHER)
 
 
 def authored_in(papers: DataFrame, paper_authors: DataFrame, name: str) -> DataFrame:
