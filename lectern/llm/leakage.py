@@ -17,6 +17,7 @@ side gives no rows; extra columns are ignored.
 
 from __future__ import annotations
 
+import math
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -30,6 +31,9 @@ from lectern.session import cut
 
 RAREST, MEET, SLACK = 8, 2, 3
 COVERAGE, SHORTEST = 0.82, 8
+#: Share of a sentence's weight that must be covered too; a word weighs the less the more of the sentences have it, so
+#: that sentences which are only built alike do not pass.
+WEIGHT = 0.5
 #: A term in more than this share of the sentences leads to no sentence in particular.
 LEADS = 0.02
 #: Rows up to which a side may be sent to every task; beyond it both sides are shuffled.
@@ -141,14 +145,24 @@ def coverage(sentence: list[str], window: list[str]) -> float:
     have = Counter(window)
     if sum(min(n, have[t]) for t, n in Counter(sentence).items()) < COVERAGE * len(sentence):
         return 0.0
-    row = [0] * (len(window) + 1)
-    for t in sentence:
-        last = 0
+    return in_order(sentence, [1.0] * len(sentence), window)
+
+
+def in_order(sentence: list[str], weights: list[float], window: list[str]) -> float:
+    """Share of the sentence's weight in the heaviest common subsequence with the window."""
+    row = [0.0] * (len(window) + 1)
+    for t, weight in zip(sentence, weights, strict=True):
+        last = 0.0
         for j, w in enumerate(window, 1):
             keep = row[j]
-            row[j] = last + 1 if t == w else max(row[j], row[j - 1])
+            row[j] = last + weight if t == w else max(row[j], row[j - 1])
             last = keep
-    return row[-1] / len(sentence)
+    return row[-1] / max(sum(weights), 1e-9)
+
+
+def word_weights(sentences: list[tuple[int, int, list[str]]]) -> list[list[float]]:
+    spread = Counter(t for _, _, tokens in sentences for t in set(tokens))
+    return [[0.05 + math.log(len(sentences) / spread[t]) for t in tokens] for _, _, tokens in sentences]
 
 
 def find_leaks(docs: DataFrame, doc_id: str, doc_text: str, items: DataFrame, item_id: str, item_text: str) -> DataFrame:
@@ -170,7 +184,8 @@ def find_leaks(docs: DataFrame, doc_id: str, doc_text: str, items: DataFrame, it
     places = found.groupBy("doc").agg(F.collect_set(F.struct("sentence", "at")).alias("places"))
     if found.count() <= SMALL:
         places = F.broadcast(places)
-    query = spark.sparkContext.broadcast([(item, tokens) for _, item, tokens in sentences])
+    weights = word_weights(sentences)
+    query = spark.sparkContext.broadcast([(item, tokens, w) for (_, item, tokens), w in zip(sentences, weights, strict=True)])
 
     @F.pandas_udf("array<struct<item:bigint,coverage:double>>")
     def verify(text: pd.Series, places: pd.Series) -> pd.Series:
@@ -179,11 +194,11 @@ def find_leaks(docs: DataFrame, doc_id: str, doc_text: str, items: DataFrame, it
             tokens, best = tokens_of(t), {}
             for p in ps:
                 n, at = p["sentence"], p["at"]
-                sentence = query.value[n][1]
+                _, sentence, weights = query.value[n]
                 margin = 2 + 4 * SLACK + len(sentence) // 4
                 window = tokens[max(0, at - margin) : max(0, at + len(sentence) + margin)]
                 share = coverage(sentence, window)
-                if share >= COVERAGE:
+                if share >= COVERAGE and in_order(sentence, weights, window) >= WEIGHT:
                     best[n] = max(best.get(n, 0.0), share)
             out.append([{"item": query.value[n][0], "coverage": c} for n, c in best.items()])
         return pd.Series(out)

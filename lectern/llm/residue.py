@@ -39,7 +39,8 @@ this application needs scripting to run | scripts
 veuillez activer javascript dans votre navigateur pour afficher cette page | scripts
 bitte aktivieren sie javascript um den inhalt dieser seite anzuzeigen | scripts
 habilite javascript en su navegador para poder leer el resumen | scripts
-请启用 javascript 后重新加载本页面 以便查看摘要内容 如果问题仍然存在 请联系管理员处理 | scripts
+请启用 javascript 后重新加载本页面 以便查看摘要内容 | scripts
+如果问题仍然存在 请联系管理员处理 | error
 checking your browser before you are sent to this takes up to five seconds | scripts
 you must have scripts turned on to use all features of this page | scripts
 please complete the captcha to prove that you are human | scripts
