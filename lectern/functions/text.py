@@ -89,12 +89,29 @@ def inverted_to_text(index: Column) -> Column:
     return F.nullif(text, F.lit(""))
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with the value computed once: inside a lambda an outer expression is computed for every element."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
 def text_to_inverted(text: Column) -> Column:
-    """Map from word to its positions, counted from 0: the inverse of ``inverted_to_text`` up to white space."""
+    """Map from word to its positions, counted from 0: the inverse of ``inverted_to_text`` up to white space.
+
+    Words are sorted with their positions; each run of equal words is one entry.
+    """
+
+    def from_sorted(s: Column) -> Column:
+        starts = F.filter(F.sequence(F.lit(0), F.size(s) - 1), lambda i: (i == 0) | (F.get(s, i)["w"] != F.get(s, i - 1)["w"]))
+        return let(
+            starts,
+            lambda b: F.map_from_arrays(
+                F.transform(b, lambda i: F.get(s, i)["w"]),
+                F.transform(b, lambda i, k: F.transform(F.slice(s, i + 1, F.coalesce(F.get(b, k + 1), F.size(s)) - i), lambda x: x["i"])),
+            ),
+        )
+
     words = F.split(collapse_space(text), " ")
-    keys = F.array_distinct(words)
-    places = F.transform(keys, lambda k: F.filter(F.transform(words, lambda w, i: F.when(w == k, i)), lambda i: i.isNotNull()))
-    return F.map_from_arrays(keys, places)
+    return let(F.array_sort(let(words, lambda ws: F.transform(ws, lambda w, i: F.struct(w.alias("w"), i.alias("i"))))), from_sorted)
 
 
 ARXIV = r"(?i)(?:arxiv\.org/(?:abs|pdf)/|10\.48550/arxiv\.)([a-z-]+(?:\.[A-Z]{2})?/\d{7}|\d{4}\.\d{4,5})"

@@ -45,8 +45,12 @@ def with_dimension(df: DataFrame, dim: DataFrame, key: str) -> DataFrame:
 
 
 def rule_matches(df: DataFrame, title: str, rules: list[tuple[str, str, str, str]]) -> DataFrame:
-    """Each row with each rule it matches. The list of rules is a parameter, so it goes into the row, not into a join."""
-    return df.withColumn("topic", F.explode(text.classify(F.col(title), rules))).where(F.col("topic") != dims.OTHER)
+    """Each row with each rule it matches. The list of rules is a parameter, so it goes into the row, not into a join.
+
+    Rows that have ``labels`` already are not tested again.
+    """
+    labels = F.col("labels") if "labels" in df.columns else text.classify(F.col(title), rules)
+    return df.withColumn("topic", F.explode(labels)).where(F.col("topic") != dims.OTHER)
 
 
 def authored_in(papers: DataFrame, paper_authors: DataFrame, name: str) -> DataFrame:

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from lectern.functions import dims, text
 from lectern.operators import aggregates, joins, merges, windows
 from lectern.plans import crawl, enrich, report
-from lectern.session import scratch_dir, table
+from lectern.session import scratch_dir, spread, table
 from lectern.sources import files
 from lectern.streaming import refresh
 
@@ -70,6 +70,12 @@ LABELLED = _sql_labels("title", VALID)
 BUCKET = "cast(year - ((year % 5) + 5) % 5 as varchar) || '-' || cast(year - ((year % 5) + 5) % 5 + 4 as varchar)"
 
 
+def labelled_of(spark: SparkSession, d: str) -> DataFrame:
+    """Valid papers with labels. Titles are labelled as they are scanned, where all cores take part, then reduced."""
+    columns = ["dblp_key", "row_idx", "venue", "year", "title", "authors"]
+    return aggregates.last_wins(aggregates.labelled(spread(papers_of(spark, d).select(*columns))), ["dblp_key"], ["row_idx"])
+
+
 # --- aggregates -----------------------------------------------------------------------------------------------------
 
 
@@ -80,7 +86,7 @@ def count_by_venue_year(spark, d):
 
 @query(f"select row_idx, array_to_string(labels, ',') as labels from {_sql_labels('title', 'papers')}")
 def topic_labels_of_titles(spark, d):
-    return aggregates.labelled(papers_of(spark, d)).select("row_idx", F.array_join("labels", ",").alias("labels"))
+    return aggregates.labelled(spread(papers_of(spark, d).select("row_idx", "title"))).select("row_idx", F.array_join("labels", ",").alias("labels"))
 
 
 @query(
@@ -89,18 +95,18 @@ def topic_labels_of_titles(spark, d):
     + ") v(ord, topic, en)) select cast(ord as integer) as ord, dim.topic, en, coalesce(n, 0) as n from dim left join c on c.topic = dim.topic"
 )
 def topic_counts(spark, d):
-    counts = aggregates.topic_counts(aggregates.labelled(valid_of(spark, d)))
+    counts = aggregates.topic_counts(labelled_of(spark, d))
     return aggregates.zero_filled(aggregates.topic_dim(spark), counts, "topic").select("ord", "topic", "en", "n")
 
 
 @query(f"select venue, topic, count(*) as n from (select venue, unnest(labels) as topic from {LABELLED}) group by all")
 def topic_by_venue(spark, d):
-    return aggregates.topic_counts(aggregates.labelled(valid_of(spark, d)), "venue")
+    return aggregates.topic_counts(labelled_of(spark, d), "venue")
 
 
 @query(f"select bucket, topic, count(*) as n from (select {BUCKET} as bucket, unnest(labels) as topic from {LABELLED}) group by all")
 def topic_by_bucket(spark, d):
-    return aggregates.topic_counts(aggregates.labelled(valid_of(spark, d)).withColumn("bucket", text.bucket(F.col("year"))), "bucket")
+    return aggregates.topic_counts(labelled_of(spark, d).withColumn("bucket", text.bucket(F.col("year"))), "bucket")
 
 
 @query(f"select {BUCKET} as bucket, count(*) as n from {VALID} group by 1")
@@ -162,7 +168,7 @@ def declining_terms(spark, d):
     f"(select count(distinct a.name) from (select unnest(authors) as a from {VALID})) as authors from {LABELLED}"
 )
 def overview(spark, d):
-    return aggregates.overview(aggregates.labelled(valid_of(spark, d)))
+    return aggregates.overview(labelled_of(spark, d))
 
 
 @query(
@@ -270,7 +276,7 @@ def join_filter_group(spark, d):
 
 @query(f"select dblp_key, topic from (select dblp_key, unnest(labels) as topic from {LABELLED}) where topic <> 'other'")
 def rule_matches(spark, d):
-    return joins.rule_matches(valid_of(spark, d), "title", dims.TOPIC_RULES).select("dblp_key", "topic")
+    return joins.rule_matches(labelled_of(spark, d), "title", dims.TOPIC_RULES).select("dblp_key", "topic")
 
 
 @query(
