@@ -441,7 +441,7 @@ def title_forms(spark, d):
 
 @query(
     "select work_id, case when right(t, 1) = '.' and right(t, 2) <> '..' then left(t, length(t) - 1) else t end as title from (select work_id, "
-    f"replace(regexp_replace(coalesce(display_name, ''), '^{_SP}+|{_SP}+$', '', 'g'), '&amp;', '&') as t from works)"
+    f"replace(replace(regexp_replace(coalesce(display_name, ''), '^{_SP}+|{_SP}+$', '', 'g'), '&amp;', '&'), '&AMP;', '&') as t from works)"
 )
 def clean_titles(spark, d):
     return table(spark, d, "works").select("work_id", text.clean_title(F.col("display_name")).alias("title"))
