@@ -7,7 +7,7 @@ exemplar is found. A text with a window at or above the exemplar's bound is resi
 all texts; only those of the exemplars' own terms (a fixed list) reach the driver.
 
 Defined results: NULL and blank texts are never residue and have a NULL score; repeated rows get equal scores; long
-texts are read whole; an empty table gives no rows; extra columns, whatever their names, stay as they are.
+texts are read whole; an empty table gives no rows; extra columns stay as they are, but one named ``residue`` is replaced.
 """
 
 from __future__ import annotations
