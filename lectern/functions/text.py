@@ -114,6 +114,7 @@ def text_to_inverted(text: Column) -> Column:
     return let(F.array_sort(let(words, lambda ws: F.transform(ws, lambda w, i: F.struct(w.alias("w"), i.alias("i"))))), from_sorted)
 
 
+# Fixed value: the forms of preprint links that are known.
 ARXIV = r"(?i)(?:arxiv\.org/(?:abs|pdf)/|10\.48550/arxiv\.)([a-z-]+(?:\.[A-Z]{2})?/\d{7}|\d{4}\.\d{4,5})"
 
 
