@@ -221,7 +221,7 @@ def busiest_pids(spark, d):
     return pa.groupBy("pid").agg(F.max_by("name", "row_idx").alias("name"), F.count("*").alias("n")).orderBy(F.desc("n"), "pid").limit(20)
 
 
-@query("select toc_key, count(*) as expected, count(*) filter (type <> 'Editorship') as fetched, count(*) = count(*) filter (type <> 'Editorship') as complete from papers group by toc_key")
+@query("select toc_key, count(*) as expected, count(*) filter (type <> 'Editorship') as fetched, count(*) = count(*) filter (type <> 'Editorship') as complete from papers where toc_key is not null group by toc_key")
 def edition_status(spark, d):
     p = papers_of(spark, d)
     expected = p.groupBy("toc_key").agg(F.count("*").alias("expected"))
@@ -480,10 +480,10 @@ def inverted_index_round_trip(spark, d):
 
 @query(
     "select toc_key, sha1(toc_key) as url_sha1, left(sha1(toc_key), 2) as folder, replace(replace(url_encode(title), '%20', '+'), '~', '~') as q from (select toc_key, arg_max(title, row_idx) as title "
-    "from papers where regexp_full_match(title, '[A-Za-z0-9 ,:()?.-]+') and toc_key is not null group by 1)"
+    "from papers where toc_key is not null and title is not null group by 1)"
 )
 def url_keys(spark, d):
-    rows = papers_of(spark, d).where(F.col("title").rlike(r"\A[A-Za-z0-9 ,:()?.-]+\z") & F.col("toc_key").isNotNull())
+    rows = papers_of(spark, d).where("toc_key is not null and title is not null")
     last = rows.groupBy("toc_key").agg(F.max_by("title", "row_idx").alias("title"))
     key = text.url_key(F.col("toc_key"))
     return last.select("toc_key", key.alias("url_sha1"), F.left(key, F.lit(2)).alias("folder"), text.quote_plus(F.col("title")).alias("q"))
@@ -495,12 +495,16 @@ def json_fields(spark, d):
     return e.select("event_id", F.from_json("props", "k int")["k"].alias("k"), text.json_for_html(F.col("props")).alias("safe"))
 
 
-@query("select dblp_key, doi <> '' and doi is not null as has_doi, coalesce(contains(doi, '|') or contains(doi, ','), false) as unsafe, case when length(trim(translate(title, '\"\\', '  '))) >= 8 then trim(translate(title, '\"\\', '  ')) end as search from "
-       + VALID + " where not regexp_matches(title, '[^\\x20-\\x7e]')")
+_SEARCH = f"regexp_replace(translate(title, '\"\\', '  '), '^{_SP}+|{_SP}+$', '', 'g')"
+
+
+@query(
+    "select dblp_key, doi <> '' and doi is not null as has_doi, coalesce(contains(doi, '|') or contains(doi, ','), false) as unsafe, "
+    f"case when length({_SEARCH}) >= 8 then {_SEARCH} end as search from {VALID}"
+)
 def lookup_paths(spark, d):
-    p = valid_of(spark, d).where(~F.col("title").rlike(r"[^\x20-\x7e]"))
     doi = F.coalesce("doi", F.lit(""))
-    return p.select("dblp_key", (doi != "").alias("has_doi"), text.unsafe_doi(doi).alias("unsafe"), text.search_query(F.col("title")).alias("search"))
+    return valid_of(spark, d).select("dblp_key", (doi != "").alias("has_doi"), text.unsafe_doi(doi).alias("unsafe"), text.search_query(F.col("title")).alias("search"))
 
 
 # --- crawl ----------------------------------------------------------------------------------------------------------
@@ -517,16 +521,18 @@ def link_discovery(spark, d):
 
 
 _PARSED = (
-    "select dblp_key, venue, coalesce(year, 1999) as year, title, pages, doi, type, array_to_string(list_transform(authors, lambda a: a.name), ';') as names from (select * from papers where title <> '' "
-    "and type <> 'Editorship' and not regexp_matches(title, '^(?i)(" + dims.FRONT_MATTER + ")') and not contains(title, '&') and not regexp_matches(title, '\\.$|^\\s|\\s$') "
-    "qualify row_number() over (partition by toc_key, dblp_key order by row_idx) = 1)"
+    f"with t as (select *, replace(replace(regexp_replace(coalesce(title, ''), '^{_SP}+|{_SP}+$', '', 'g'), '&amp;', '&'), '&AMP;', '&') as s from papers), "
+    "c as (select *, case when right(s, 1) = '.' and right(s, 2) <> '..' then left(s, length(s) - 1) else s end as clean from t) "
+    "select dblp_key, venue, coalesce(year, 1999) as year, clean as title, coalesce(pages, '') as pages, coalesce(doi, '') as doi, type, "
+    "array_to_string(list_transform(authors, lambda a: a.name), ';') as names from c where clean <> '' and type <> 'Editorship' "
+    f"and not regexp_matches(clean, '^(?i)({dims.FRONT_MATTER})') qualify row_number() over (partition by toc_key, dblp_key order by row_idx) = 1"
 )
 
 
-@query(_PARSED.replace("doi, type", "coalesce(doi, '') as doi, type").replace("title, pages", "title, coalesce(pages, '') as pages"))
+@query(_PARSED)
 def parse_hits(spark, d):
     """Responses are put together from the papers, one hit each, then parsed; ids and names must come back."""
-    p = papers_of(spark, d).where((F.col("title") != "") & ~F.col("title").contains("&") & ~F.col("title").rlike(r"\.$|(?U)^\s|\s$"))
+    p = papers_of(spark, d)
     people = F.transform("authors", lambda a: F.struct(a["pid"].alias("@pid"), a["name"].alias("text")))
     info = F.struct("title", F.col("year").cast("string").alias("year"), "pages", "doi", "ee", F.col("dblp_key").alias("key"), F.col("dblp_url").alias("url"), "type", "access", F.struct(people.alias("author")).alias("authors"))
     hit = F.struct(info.alias("info"))
