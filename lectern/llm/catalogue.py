@@ -97,8 +97,8 @@ def p5_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     valid = terms.valid_rows(papers, "dblp_key", "row_idx", "title", "year", "doi")
     left = valid.withColumn("title", plainform.plain_form("title", scores))
     right = works.withColumn("display_name", plainform.plain_form("display_name", scores))
-    pairs = matching.match_pairs(left, right, ("dblp_key", "title", "year", "doi"), ("work_id", "display_name", "publication_year", "doi"))
-    return matching.assign(pairs).select(
+    found = matching.best_matches(left, right, ("dblp_key", "title", "year", "doi"), ("work_id", "display_name", "publication_year", "doi"))
+    return found.select(
         F.col("left_id").alias("dblp_key"), F.col("right_id").cast("bigint").alias("work_id"), "confidence"
     )
 

@@ -196,6 +196,35 @@ def test_windows_meet_across_partitions(spark):
     assert len(same) == 300
 
 
+def test_equal_records_are_no_matter_of_the_window(spark):
+    """Repeated works, works of one title and works of one DOI all meet, however many there are; held against all pairs."""
+    left = [("k1", "Sparse Graphs and Random Codes", 2000, "10.1234/a"), ("k2", "Dense Lattices under Noise", 2001, None)]
+    left += [(f"f{i}", "Front Matter", 2000 + i, f"10.1234/f{i}") for i in range(4)]
+    right = [(i, "Sparse Graphs and Random Codes", 2000, "10.1234/a") for i in range(40)]
+    right += [(100 + i, "Sparse Graphs and Random Codse", 1990 + i, f"10.5678/x{i}") for i in range(40)]
+    right += [(200 + i, "Dense Lattices under Noise", 2001, f"10.5678/y{i}") for i in range(40)]
+    right += [(300 + i, "Front matter", 1980 + i, "10.1234/f2") for i in range(40)] + [(400, "Front matter", 2000, None)]
+    a = spark.createDataFrame(left, "k string, t string, y int, d string")
+    b = spark.createDataFrame(right, "k bigint, t string, y int, d string")
+    roles = ("k", "t", "y", "d")
+    record = lambda t, y, d: matching.Record(" ".join(matching.title_tokens(t)), y, d or "", False, t == "Front Matter")
+    brute = {(lk, str(rk)): matching.score_pair(record(*l), record(*r)) for lk, *l in left for rk, *r in right}
+    brute = {pair: s for pair, s in brute.items() if s >= matching.BOUND}
+    got = {(r.left_id, r.right_id): r.confidence for r in matching.match_pairs(a, b, roles, roles).collect()}
+    assert len(brute) > 150 and got == pytest.approx(brute)
+    best = {tuple(r) for r in matching.best_matches(a, b, roles, roles).collect()}
+    assert best == {tuple(r) for r in matching.assign(matching.match_pairs(a, b, roles, roles)).collect()}
+
+
+def test_a_frequent_doi_is_dealt_out_whole(spark, monkeypatch):
+    monkeypatch.setattr(matching, "PAIRS", 10)
+    a = spark.createDataFrame([(f"k{i}", f"Part {i}", 2000, "10.1234/a") for i in range(6)], "k string, t string, y int, d string")
+    b = spark.createDataFrame([(i, "", 1999 + i % 3, "10.1234/a") for i in range(3)] + [(9 + i, f"Part {i}", 2000, "10.1234/A") for i in range(30)], "k bigint, t string, y int, d string")
+    pairs = matching.match_pairs(a, b, ("k", "t", "y", "d"), ("k", "t", "y", "d")).collect()
+    assert len(pairs) == len({(r.left_id, r.right_id) for r in pairs})
+    assert {(f"k{i}", str(n)) for i in range(6) for n in (0, 1, 2, 9 + i)} <= {(r.left_id, r.right_id) for r in pairs}
+
+
 # --- 6 packing ------------------------------------------------------------------------------------------------------
 
 
