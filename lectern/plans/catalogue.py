@@ -606,10 +606,23 @@ def streamed_upsert(spark, d):
     return refresh.current(spark, target).select("dblp_key", "row_idx", "title")
 
 
+def preprint_feed(papers: DataFrame, works: DataFrame, abstracts: DataFrame) -> DataFrame:
+    """``id, summary``: the preprint texts, each under the id that the last work of its paper's DOI names.
+
+    A text whose paper has no such id cannot be asked for by id, so it is no entry.
+    """
+    doi = text.bare_doi(F.col("doi"), "https://doi.example/")
+    ids = aggregates.last_wins(works.select("work_id", doi.alias("_doi"), "locations").where("_doi <> ''"), ["_doi"], ["work_id"])
+    ids = ids.select("_doi", text.arxiv_of_locations(F.col("locations"), ARXIV_TEST).alias("_id")).where("_id is not null")
+    keys = papers.where("doi <> ''").select("dblp_key", F.lower("doi").alias("_doi")).join(ids, "_doi")
+    texts = abstracts.where("source = 'arxiv'").select("dblp_key", F.col("abstract").alias("summary"))
+    return texts.join(keys, "dblp_key").select(F.concat(F.lit("https://arxiv.example/abs/"), "_id").alias("id"), "summary")
+
+
 @query()
 def enriched(spark, d):
     """Abstracts of papers by the whole lookup plan; the preprint feed is the abstracts of that source."""
-    feed = table(spark, d, "abstracts").where("source = 'arxiv'").select(F.concat(F.lit("https://arxiv.example/abs/"), F.lit("0000.0000")).alias("id"), F.col("abstract").alias("summary"))
+    feed = preprint_feed(valid_of(spark, d), table(spark, d, "works"), table(spark, d, "abstracts"))
     return enrich.enrich(valid_of(spark, d), table(spark, d, "works"), feed, pattern=ARXIV_TEST, doi_prefix="https://doi.example/")
 
 

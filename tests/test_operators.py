@@ -65,6 +65,37 @@ def test_longer_wins(spark):
     assert {r.k: r.t[0] for r in merges.longer_wins(old, new, "k", "t").collect()} == {"a": "x", "b": "y", "c": "x", "d": "y"}
 
 
+def test_longer_preprints_replace_texts(spark, tmp_path):
+    """``enriched`` against plain Python: preprint texts reach their papers by the ids in the works' locations."""
+    words = lambda n, c: " ".join(c * 5 for _ in range(n))
+    papers = [paper(i, key=f"k{i}", title=f"A title of paper number {i}", doi=f"10.1234/{'B' if i == 4 else 'b'}{i}") for i in range(6)]
+    papers.append(paper(9, key="k9", title="A title of paper number 9", doi="10.1234/b1"))
+    url = lambda i: [{"landing_page_url": None, "pdf_url": f"https://arxiv.example/pdf/2301.0000{i}v2"}]
+    works = [(i, f"https://doi.example/10.1234/b{i}", f"Work {i}", 2020, None if i == 3 else words(20, "w"), [] if i == 5 else url(i)) for i in range(6)]
+    preprints = [("k0", words(30, "p")), ("k0", words(25, "q")), ("k1", words(20, "p")), ("k2", "short"), ("k3", words(8, "p")), ("k4", words(22, "p")), ("k5", words(90, "p")), ("k9", words(40, "p"))]
+    table(spark, *papers).write.parquet(str(tmp_path / "papers.parquet"))
+    kinds = "work_id bigint, doi string, display_name string, publication_year int, words string, locations array<struct<landing_page_url:string,pdf_url:string>>"
+    found = spark.createDataFrame(works, kinds)
+    index = F.when(F.col("words").isNotNull(), F.map_from_arrays(F.array(F.lit("wwwww")), F.array(F.sequence(F.lit(0), F.lit(19)))))
+    found.withColumn("abstract_inverted_index", index).drop("words").write.parquet(str(tmp_path / "works.parquet"))
+    rows = [(i, k, t, "arxiv") for i, (k, t) in enumerate(preprints)] + [(99, "k1", words(99, "m"), "mirror")]
+    spark.createDataFrame(rows, "abstract_id bigint, dblp_key string, abstract string, source string").write.parquet(str(tmp_path / "abstracts.parquet"))
+
+    expected = {}
+    last = {p["doi"].lower(): p["dblp_key"] for p in papers}  # of papers with one DOI the last is looked up
+    for p in papers:
+        for _, doi, _, _, text, locations in works:
+            if doi.endswith("/" + p["doi"].lower()) and last[p["doi"].lower()] == p["dblp_key"]:
+                expected[p["dblp_key"]] = text
+                sharing = {q["dblp_key"] for q in papers if q["doi"].lower() == p["doi"].lower()}
+                for new in sorted((t for k, t in preprints if k in sharing and locations and len(t) >= 40), key=len)[-1:]:
+                    if text is None or len(new) > 1.05 * len(text):
+                        expected[p["dblp_key"]] = new
+    got = {r.dblp_key: r.abstract for r in catalogue.enriched(spark, str(tmp_path)).collect()}
+    assert got == {k: t for k, t in expected.items() if t is not None}
+    assert got["k0"] == words(30, "p") and got["k3"] == words(8, "p") and got["k9"] == words(40, "p")
+
+
 def test_unknown_dimension_key_is_an_error(spark):
     with pytest.raises(ValueError):
         joins.with_dimension(table(spark, paper(1)), spark.createDataFrame([("w",)], "venue string"), "venue")
