@@ -8,7 +8,8 @@ of the rarest terms meet at one shift are candidates. A candidate's neighbourhoo
 exact phrases and near ones (words changed, left out or put in) come out with their coverage.
 
 What counts as a passage: all sentences of an item but its question (the last one) and the instruction lines
-(sentences that several items share).
+(sentences that several different texts share at their opening or end while their other sentences differ). A passage
+that several items share is a passage of each of them.
 
 Defined results: NULL and blank documents carry nothing; sentences of fewer than ``SHORTEST`` words are no evidence;
 copies of a document count separately, as do repeated items; long documents are read whole; an empty table on either
@@ -21,6 +22,7 @@ import math
 import re
 from collections import Counter
 from collections.abc import Iterator
+from itertools import takewhile
 
 import numpy as np
 import pandas as pd
@@ -46,24 +48,75 @@ def tokens_of(text: str) -> list[str]:
     return _TOKENS.findall(text.lower())
 
 
+def _run(text: tuple[str, ...], common: set[str], side: int) -> list[str]:
+    """The common sentences that ``text`` opens with (side 0) or ends in (side 1)."""
+    return list(takewhile(common.__contains__, reversed(text) if side else text))
+
+
+def instruction_lines(texts: list[tuple[str, ...]]) -> set[str]:
+    """Sentences that stand at an end of several texts whose passages differ. ``texts`` are distinct lists of sentences.
+
+    Two texts differ if each has two sentences at least, a passage and a question, between what they share at their
+    ends, and nothing there is shared. Two such texts will do where the line is all they share at that end, three where
+    it is not, as a part of a passage may be shared too.
+    """
+    at: dict[str, list[int]] = {}
+    for n, text in enumerate(texts):
+        for k in set(text):
+            at.setdefault(k, []).append(n)
+    out = set()
+    for k, where in at.items():
+        for side in (0, 1):
+            unlike: list[int] = []
+            alone = False
+            for n in where if len(where) > 1 else ():
+                ok = len(texts[n]) > 2
+                for o in unlike:
+                    a, b = texts[n], texts[o]
+                    common = set(a) & set(b)
+                    inner = [t[len(_run(t, common, 0)) : len(t) - len(_run(t, common, 1))] for t in (a, b)]
+                    shared = any(s in common and s.count(" ") + 1 >= SHORTEST for s in inner[0])
+                    runs = [_run(t, common, side) for t in (a, b)]
+                    ok = ok and not shared and min(map(len, inner)) >= 2 and all(k in r for r in runs)
+                    alone = alone or ok and set(runs[0]) == set(runs[1]) == {k}
+                if ok:
+                    unlike.append(n)
+                if alone or len(unlike) == 3:
+                    out.add(k)
+                    break
+    return out
+
+
 def passage_sentences(items: list[tuple[int, str]]) -> list[tuple[int, int, list[str]]]:
-    """``(sentence number, item, tokens)`` of the items' passages."""
-    split = [(item, [s for s in BREAK.split(text) if s and s.strip()]) for item, text in items if text]
-    often = Counter(k for _, sentences in split for k in {" ".join(tokens_of(s)) for s in sentences})
+    """``(sentence number, item, tokens)`` of the items' passages. An item delivered twice counts once."""
+    split = {(item, tuple(" ".join(tokens_of(s)) for s in BREAK.split(text) if s and s.strip())): None for item, text in items if text}
+    lines = instruction_lines(list(dict.fromkeys(sentences for _, sentences in split)))
     out = []
     for item, sentences in split:
-        own = [t for t in map(tokens_of, sentences) if often[" ".join(t)] == 1 or len(split) == 1]
-        for tokens in own[:-1] if len(own) > 1 else own:
+        own = list(sentences)
+        while own and own[0] in lines:
+            own.pop(0)
+        while own and own[-1] in lines:
+            own.pop()
+        for tokens in [s.split() for s in (own[:-1] if len(own) > 1 else own)]:
             if len(tokens) >= SHORTEST:
                 out.append((len(out), item, tokens))
     return out
 
 
+def distinct_sentences(sentences: list[tuple[int, int, list[str]]]) -> list[tuple[int, list[int], list[str]]]:
+    """``(number, items, tokens)``: each sentence once, with all items that have it."""
+    items: dict[tuple[str, ...], list[int]] = {}
+    for _, item, tokens in sentences:
+        items.setdefault(tuple(tokens), []).append(item)
+    return [(n, of, list(tokens)) for n, (tokens, of) in enumerate(items.items())]
+
+
 def pairs_of(tokens: list[str]) -> list[str]:
     return [f"{a} {b}" for a, b in zip(tokens, tokens[1:], strict=False)]
 
 
-def leading_terms(sentences: list[tuple[int, int, list[str]]]) -> dict[str, list[tuple[int, int]]]:
+def leading_terms(sentences: list[tuple[int, list[int], list[str]]]) -> dict[str, list[tuple[int, int]]]:
     """Terms to index, with their ``(sentence, place)``: those in few sentences, at least RAREST + 2 of each sentence."""
     spread = Counter(t for _, _, tokens in sentences for t in set(pairs_of(tokens)))
     limit = max(3, LEADS * len(sentences))
@@ -160,7 +213,7 @@ def in_order(sentence: list[str], weights: list[float], window: list[str]) -> fl
     return row[-1] / max(sum(weights), 1e-9)
 
 
-def word_weights(sentences: list[tuple[int, int, list[str]]]) -> list[list[float]]:
+def word_weights(sentences: list[tuple[int, list[int], list[str]]]) -> list[list[float]]:
     spread = Counter(t for _, _, tokens in sentences for t in set(tokens))
     return [[0.05 + math.log(len(sentences) / spread[t]) for t in tokens] for _, _, tokens in sentences]
 
@@ -173,7 +226,7 @@ def find_leaks(docs: DataFrame, doc_id: str, doc_text: str, items: DataFrame, it
     """
     spark = docs.sparkSession
     rows = items.select(item_id, item_text).orderBy(item_id).toPandas()
-    sentences = passage_sentences(list(zip(rows[item_id].tolist(), rows[item_text].tolist(), strict=True)))
+    sentences = distinct_sentences(passage_sentences(list(zip(rows[item_id].tolist(), rows[item_text].tolist(), strict=True))))
     if not sentences:
         return docs.select(F.col(doc_id), F.lit(0).cast("bigint").alias(item_id), F.lit(0).cast("bigint").alias("sentences"), F.lit(0.0).alias("coverage")).limit(0)
     leads_of = leading_terms(sentences)
@@ -185,7 +238,7 @@ def find_leaks(docs: DataFrame, doc_id: str, doc_text: str, items: DataFrame, it
     if found.count() <= SMALL:
         places = F.broadcast(places)
     weights = word_weights(sentences)
-    query = spark.sparkContext.broadcast([(item, tokens, w) for (_, item, tokens), w in zip(sentences, weights, strict=True)])
+    query = spark.sparkContext.broadcast([(of, tokens, w) for (_, of, tokens), w in zip(sentences, weights, strict=True)])
 
     @F.pandas_udf("array<struct<item:bigint,coverage:double>>")
     def verify(text: pd.Series, places: pd.Series) -> pd.Series:
@@ -200,7 +253,7 @@ def find_leaks(docs: DataFrame, doc_id: str, doc_text: str, items: DataFrame, it
                 share = coverage(sentence, window)
                 if share >= COVERAGE and in_order(sentence, weights, window) >= WEIGHT:
                     best[n] = max(best.get(n, 0.0), share)
-            out.append([{"item": query.value[n][0], "coverage": c} for n, c in best.items()])
+            out.append([{"item": item, "coverage": c} for n, c in best.items() for item in query.value[n][0]])
         return pd.Series(out)
 
     checked = texts.join(places, "doc").select("doc", F.explode(verify("text", "places")).alias("v"))

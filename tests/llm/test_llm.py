@@ -331,6 +331,20 @@ def test_leaks_equal_what_was_planted(spark):
     assert leakage.find_leaks(d, "doc_id", "text", i.limit(0), "item_id", "text").count() == 0
 
 
+def test_items_with_one_passage_leak_each(spark):
+    """Repeated items and items of one passage keep their sentences; instruction lines stay out."""
+    docs, items, truth = leak_table()
+    line = "Read all of the passage before you give one answer. "
+    items = [(i, line + t if i % 2 else t) for i, t in items]
+    more = [(100 + i, t) for i, t in items] + items[:5]
+    more += [(200 + i, t[: t.rindex(". ") + 2] + f"Why did {i} of them say nothing?") for i, t in items]
+    d = spark.createDataFrame([*docs, (903, line)], "doc_id bigint, text string")
+    i = spark.createDataFrame(items + more, "item_id bigint, text string")
+    got = leakage.find_leaks(d, "doc_id", "text", i, "item_id", "text").collect()
+    assert {(r.doc_id, r.item_id) for r in got} == {(a, b + n) for a, b in truth for n in (0, 100, 200)}
+    assert all(r.sentences == 1 for r in got)
+
+
 def test_postings_equal_brute_force(spark):
     texts = [(1, "a b a b"), (2, "B. c A-b"), (3, None), (4, "")]
     df = spark.createDataFrame(texts, "id bigint, t string")
