@@ -7,13 +7,15 @@ up, their positions shifted by the term's place in the sentence, and the lists i
 of the rarest terms meet at one shift are candidates. A candidate's neighbourhood is then aligned with the whole sentence;
 exact phrases and near ones (words changed, left out or put in) come out with their coverage.
 
-What counts as a passage: all sentences of an item but its question (the last one) and the instruction lines
-(sentences that several different texts share at their opening or end while their other sentences differ). A passage
-that several items share is a passage of each of them.
+What counts as a passage: all sentences of an item but the instruction lines (sentences that several different texts
+share at their opening or end while their other sentences differ) and the question, which is told by its form: what
+stands last and ends in a question mark or opens with the verb of a task. An item without a question keeps all its
+sentences. A passage that several items share is a passage of each of them.
 
 Defined results: NULL and blank documents carry nothing; sentences of fewer than ``SHORTEST`` words are no evidence;
-copies of a document count separately, as do repeated items; long documents are read whole; an empty table on either
-side gives no rows; extra columns are ignored.
+copies of a document count separately; an item row delivered twice counts once, and the same text under two ids is two
+items; long documents are read whole; an empty table on either side gives no rows; extra columns are ignored; more than
+``ITEMS`` items are an error.
 """
 
 from __future__ import annotations
@@ -32,7 +34,9 @@ from pyspark.sql import functions as F
 from lectern.session import cut
 
 RAREST, MEET, SLACK = 8, 2, 3
-COVERAGE, SHORTEST = 0.82, 8
+COVERAGE, SHORTEST = 0.82, 5
+#: Items up to which the stated query set may be held by the driver and every task.
+ITEMS = 1_000_000
 #: Share of a sentence's weight that must be covered too; a word weighs the less the more of the sentences have it, so
 #: that sentences which are only built alike do not pass.
 WEIGHT = 0.5
@@ -42,6 +46,14 @@ LEADS = 0.02
 SMALL = 200_000
 BREAK = re.compile(r"(?<!\bDr)(?<!\bMr)(?<!\bMrs)(?<!\bProf)(?<!\bSt)(?<!\bNo)(?<!\bvs)(?<!\be\.g)(?<!\bi\.e)(?<=[.!?])[\"'”’)]?\s+")
 _TOKENS = re.compile(r"[^\W_]+")
+# Words that open a task.
+TASKS = frozenset("explain describe discuss justify compare summarize summarise choose select determine identify compute prove list name".split())
+
+
+def asks(sentence: str) -> bool:
+    """True for a question, which ends in its mark, or a task, which opens with its verb."""
+    first = _TOKENS.search(sentence.lower())
+    return sentence.rstrip().rstrip("\"'”’)]").endswith("?") or bool(first) and first.group() in TASKS
 
 
 def tokens_of(text: str) -> list[str]:
@@ -89,16 +101,19 @@ def instruction_lines(texts: list[tuple[str, ...]]) -> set[str]:
 
 def passage_sentences(items: list[tuple[int, str]]) -> list[tuple[int, int, list[str]]]:
     """``(sentence number, item, tokens)`` of the items' passages. An item delivered twice counts once."""
-    split = {(item, tuple(" ".join(tokens_of(s)) for s in BREAK.split(text) if s and s.strip())): None for item, text in items if text}
+    split: dict[tuple[int, tuple[str, ...]], list[bool]] = {}
+    for item, text in items:
+        raw = [s for s in BREAK.split(text or "") if s and s.strip()]
+        split[item, tuple(" ".join(tokens_of(s)) for s in raw)] = [asks(s) for s in raw]
     lines = instruction_lines(list(dict.fromkeys(sentences for _, sentences in split)))
     out = []
-    for item, sentences in split:
-        own = list(sentences)
-        while own and own[0] in lines:
-            own.pop(0)
-        while own and own[-1] in lines:
-            own.pop()
-        for tokens in [s.split() for s in (own[:-1] if len(own) > 1 else own)]:
+    for (item, sentences), questions in split.items():
+        low, high = 0, len(sentences)
+        while low < high and sentences[low] in lines:
+            low += 1
+        while low < high and (sentences[high - 1] in lines or questions[high - 1]):
+            high -= 1
+        for tokens in [s.split() for s in sentences[low:high]]:
             if len(tokens) >= SHORTEST:
                 out.append((len(out), item, tokens))
     return out
@@ -222,9 +237,11 @@ def find_leaks(docs: DataFrame, doc_id: str, doc_text: str, items: DataFrame, it
     """``doc_id, item_id, sentences, coverage``: documents that carry whole sentences of an item's passage.
 
     ``sentences`` counts the item's sentences found, ``coverage`` is that of the best one. The items are the stated
-    query set; they are read on the driver, so their number must be bounded by the caller.
+    query set; they are read on the driver, which their number, counted first, must allow.
     """
     spark = docs.sparkSession
+    if items.count() > ITEMS:
+        raise ValueError(f"more than {ITEMS} items: split the query set")
     rows = items.select(item_id, item_text).orderBy(item_id).toPandas()
     sentences = distinct_sentences(passage_sentences(list(zip(rows[item_id].tolist(), rows[item_text].tolist(), strict=True))))
     if not sentences:
