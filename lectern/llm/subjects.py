@@ -3,12 +3,13 @@
 The model averages word and subword embeddings over each sentence and has one independent logistic output per area. A
 document is about an area if at least ``SENTENCES`` of its sentences are: training therefore compares the label with
 the score of the ``SENTENCES``-th best sentence of the document. Gradients are computed on the partitions of the
-labelled documents, summed, and applied on the driver, step by step; every document is then scored.
+labelled documents, summed on an executor, and applied on the driver, step by step; every document is then scored.
 
 The model is linear in its words, so a word's share of all outputs is computed once per task and reused.
 
-Fitted on at most ``LABELLED`` labelled documents (those with the smallest hash of their id); what moves per step is
-bounded by ``BUCKETS`` times ``WIDTH`` numbers. Steps, width and buckets are parameters; none depends on the data.
+Fitted on at most ``LABELLED`` labelled documents (those with the smallest hash of their id), in blocks of about
+``PER_BLOCK``: the blocks follow the labels, not the cores. A step sends the driver one sum of at most ``BUCKETS`` times
+``WIDTH`` numbers. Steps, width and buckets are parameters; none depends on the data.
 
 Defined results: NULL and blank texts are on no area; a document needs two sentences, so shorter ones are on no area;
 repeated documents get equal areas; labels of unknown documents or areas are ignored; without labels no document gets
@@ -31,7 +32,7 @@ from lectern.session import cut
 
 SENTENCES = 2
 BUCKETS, WIDTH, STEPS, WARM = 1 << 15, 16, 40, 12
-LABELLED = 20_000
+LABELLED, PER_BLOCK = 20_000, 1_250
 RATE_WARM, RATE, PULL = 0.2, 0.3, 0.002
 #: Added to every output when documents are scored; above 0 a sentence counts a little sooner than in training.
 LEAN = 1.5
@@ -179,13 +180,36 @@ class Areas:
         return (self.embeddings @ self.outputs).astype(np.float32), self.bias + np.float32(LEAN)
 
 
+SLOPE = "n int, loss double, w binary, g binary, o binary, b binary"
+
+
+def slope_row(n: int, loss: float, where: np.ndarray, rows: np.ndarray, out: np.ndarray, bias: np.ndarray) -> pd.DataFrame:
+    numbers = {"w": where.astype(np.int32), "g": rows.astype(np.float32), "o": out.astype(np.float32), "b": bias.astype(np.float32)}
+    return pd.DataFrame({"n": [n], "loss": [loss]} | {k: [v.tobytes()] for k, v in numbers.items()})
+
+
+def add_slopes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The mean of the blocks' gradients, weighted by their documents, as one row; only buckets that a block touched."""
+    n, loss, touched, g, o, b = 0, 0.0, np.zeros(BUCKETS, dtype=bool), np.zeros((BUCKETS, WIDTH), dtype=np.float32), 0.0, 0.0
+    for batch in batches:
+        for r in batch.itertuples():
+            where = np.frombuffer(r.w, np.int32)
+            touched[where] = True
+            g[where] += np.float32(r.n) * np.frombuffer(r.g, np.float32).reshape(-1, WIDTH)
+            o, b = o + r.n * np.frombuffer(r.o, np.float32), b + r.n * np.frombuffer(r.b, np.float32)
+            n, loss = n + r.n, loss + r.loss
+    if n:
+        where = np.flatnonzero(touched)
+        yield slope_row(n, loss, where, g[where] / np.float32(n), o / n, b / n)
+
+
 def fit_areas(docs: DataFrame, doc_id: str, text: str, labels: DataFrame, area: str, areas: list[str], labelled: int = LABELLED, steps: int = STEPS) -> Areas:
     """Train on the labelled documents; ``labels`` has ``doc_id, area`` and is complete for the documents it lists."""
     model = Areas(areas)
     spark = docs.sparkSession
     wanted = labels.where(F.col(area).isin(areas)).groupBy(doc_id).agg(F.collect_set(area).alias("_areas"))
-    chosen = wanted.orderBy(F.xxhash64(doc_id), doc_id).limit(labelled)
-    parts = spark.sparkContext.defaultParallelism
+    chosen = cut(wanted.orderBy(F.xxhash64(doc_id), doc_id).limit(labelled), "labelled")
+    parts = max(1, -(-chosen.count() // PER_BLOCK))
     rows = docs.where(F.col(text).isNotNull()).select(doc_id, F.col(text).alias("_text")).join(F.broadcast(chosen), doc_id)  # at most ``labelled`` rows
     place = {a: i for i, a in enumerate(areas)}
 
@@ -214,13 +238,11 @@ def fit_areas(docs: DataFrame, doc_id: str, text: str, labels: DataFrame, area:
             for b in batches:
                 for n, data in zip(b["n"], b["block"], strict=True):
                     where, rows, out, bias, loss = Block.load(data).gradient(*sent.value, warm)
-                    yield pd.DataFrame(
-                        {"n": [n], "loss": [loss], "w": [where.astype(np.int32).tobytes()], "g": [rows.astype(np.float32).tobytes()],
-                         "o": [out.astype(np.float32).tobytes()], "b": [bias.astype(np.float32).tobytes()]}
-                    )
+                    yield slope_row(n, loss, where, rows, out, bias)
 
-        # one row per partition, of at most BUCKETS x WIDTH numbers
-        got = blocks.mapInPandas(slope, "n int, loss double, w binary, g binary, o binary, b binary").collect()
+        slopes = blocks.mapInPandas(slope, SLOPE)
+        # one row of at most BUCKETS x WIDTH numbers, whatever the cores and blocks
+        got = slopes.collect() if parts == 1 else slopes.repartition(1).mapInPandas(add_slopes, SLOPE).collect()
         sent.destroy()
         g = [np.zeros_like(model.embeddings), np.zeros_like(model.outputs), np.zeros_like(model.bias)]
         for r in got:
