@@ -13,8 +13,8 @@ A text longer than a container is split into full pieces, each a container of it
 a text. Ranks within a size are taken in buckets, so that a size which a third of all texts share is not one task.
 
 Defined results: NULL and blank texts have 0 tokens and go into container 0, which is kept for them; repeated texts
-are packed each for itself; ties in size are ranked by id; no texts give no rows; capacities below 1 are an error;
-extra columns are ignored.
+are packed each for itself; ties in size are ranked by the hash of the id, then the id; a NULL size counts as 0; no texts
+or no capacities give no rows; capacities below 1 are an error; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -31,7 +31,8 @@ from pyspark.sql.window import Window
 
 from lectern.session import cut
 
-ROWS_PER_BUCKET = 200_000
+#: Buckets of a size: a size that a third of all texts share is so many tasks' work at least.
+BUCKETS = 1024
 _encoders: dict[str, object] = {}
 
 
@@ -142,36 +143,26 @@ def plan(sizes: np.ndarray, counts: np.ndarray, capacity: int) -> list[tuple[int
     return out
 
 
-def ranks_within(df: DataFrame, group: str, order: str, n_rows: int) -> DataFrame:
-    """Adds ``rank``, counted from 0 within ``group``. Big groups are spread over buckets that are then put end to end."""
-    buckets = max(1, n_rows // ROWS_PER_BUCKET)
-    placed = df.withColumn("_bucket", F.pmod(F.xxhash64(order), F.lit(buckets)))
-    if buckets == 1:
-        own = Window.partitionBy(group).orderBy(order)
-        return df.withColumn("rank", F.row_number().over(own).cast("bigint") - 1)
-    sizes = placed.groupBy(group, "_bucket").agg(F.count("*").alias("_n"))
-    before = Window.partitionBy(group).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sizes.select(group, "_bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
-    own = Window.partitionBy(group, "_bucket").orderBy(order)
-    ranked = placed.withColumn("_place", F.row_number().over(own) - 1).join(starts, [group, "_bucket"])
-    return ranked.withColumn("rank", F.col("_start") + F.col("_place")).drop("_bucket", "_place", "_start")
-
-
 def pack(items: DataFrame, id_col: str, size_col: str, containers: DataFrame, pack_col: str, capacity_col: str) -> DataFrame:
     """``pack_col, id_col, piece, tokens, container`` for every capacity: one row per piece of each item.
 
-    ``containers`` is the list of capacities, a few rows.
+    ``containers`` is the list of capacities, a few rows. Items of one size fall into ``BUCKETS`` buckets by the hash of
+    their id; a bucket's first rank follows from the counts before it, so the ranks of a size are the same however
+    many rows there are, and no task holds more than a bucket. The plan stays a table: each bucket is joined with the runs
+    that its ranks meet, and each item with its bucket.
     """
-    spark = items.sparkSession
     packs = [(r[0], int(r[1])) for r in containers.select(pack_col, capacity_col).orderBy(pack_col).collect()]
     if any(c < 1 for _, c in packs):
         raise ValueError("a capacity is below 1")
-    items = cut(items.select(id_col, F.col(size_col).cast("bigint").alias("tokens")), "sizes")
-    histogram = items.groupBy("tokens").agg(F.count("*").alias("n"))  # as many rows as there are different sizes
+    size = F.coalesce(F.col(size_col), F.lit(0)).cast("bigint").alias("tokens")
+    items = cut(items.select(F.col(id_col).alias("_id"), size, F.pmod(F.xxhash64(id_col), F.lit(BUCKETS)).cast("int").alias("bucket")), "sizes")
+    cells = cut(items.groupBy("tokens", "bucket").agg(F.count("*").alias("n")), "cells")
     kind = dict(containers.dtypes)[pack_col]
-    shape = F.array(*[F.struct(F.lit(p).cast(kind).alias("pack"), F.lit(c).alias("capacity")) for p, c in packs])
-    # what is left of a text beyond full containers, by size
-    by_pack = histogram.where("tokens > 0").withColumn("p", F.explode(shape)).select("p.pack", "p.capacity", "tokens", "n")
+    shape = F.array(*[F.struct(F.lit(i).alias("no"), F.lit(p).cast(kind).alias("pack"), F.lit(c).cast("bigint").alias("capacity")) for i, (p, c) in enumerate(packs)])
+    if not packs:
+        shape = shape.cast(f"array<struct<no:int,pack:{kind},capacity:bigint>>")
+    # as many rows as there are different sizes
+    histogram = cells.where("tokens > 0").groupBy("tokens").agg(F.sum("n").alias("n")).withColumn("p", F.explode(shape)).select("p.no", "p.capacity", "tokens", "n")
 
     def sweep(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("tokens")
@@ -193,62 +184,39 @@ def pack(items: DataFrame, id_col: str, size_col: str, containers: DataFrame, pa
         a = pd.DataFrame({"what": 0, "size": tokens, "low": first_rank, "n": n, "first": first_full})
         b = pd.DataFrame(runs, columns=["size", "low", "n", "first"]).assign(what=1)
         out = pd.concat([a, b[["what", "size", "low", "n", "first"]]], ignore_index=True)
-        out.insert(0, "pack", pdf["pack"].iloc[0])
+        out.insert(0, "no", pdf["no"].iloc[0])
         return out
 
-    planned = by_pack.groupBy("pack").applyInPandas(sweep, f"pack {kind}, what int, size long, low long, n long, first long")
-    table = planned.toPandas()  # runs: their number follows capacities and different sizes, not the number of texts
-    lookup = {}
-    for i, (p, _) in enumerate(packs):
-        own = table[table["pack"] == p]
-        base = own[own["what"] == 0].sort_values("size")
-        runs = own[own["what"] == 1].sort_values(["size", "low"])
-        lookup[i] = tuple(base[c].to_numpy() for c in ("size", "low", "first")) + tuple(runs[c].to_numpy() for c in ("size", "low", "first"))
-    sent = spark.sparkContext.broadcast(lookup)
-    n_rows = items.count()
-    ranked = ranks_within(items, "tokens", id_col, n_rows)
-
-    @F.pandas_udf("rest_in long, full_from long")
-    def place(pack_no: pd.Series, capacity: pd.Series, tokens: pd.Series, rank: pd.Series) -> pd.DataFrame:
-        rest_in, full_from = np.zeros(len(tokens), np.int64), np.zeros(len(tokens), np.int64)
-        tokens, rank, capacity, pack_no = (x.to_numpy() for x in (tokens, rank, capacity, pack_no))
-        for i in np.unique(pack_no):
-            size, low, first, run_size, run_low, run_first = sent.value[int(i)]
-            at = np.flatnonzero((pack_no == i) & (tokens > 0))
-            if not len(at):
-                continue
-            t, r, c = tokens[at], rank[at], capacity[at]
-            k = np.searchsorted(size, t)
-            full = np.where(t > c, t // c, 0)
-            full_from[at] = first[k] + r * full
-            rest, place_in = np.where(t > c, t % c, t), low[k] + r
-            # runs are sorted by size and rank: one key for both
-            has = rest > 0
-            key, keys = rest[has].astype(np.float64), None
-            lo = np.searchsorted(run_size, rest[has], "left")
-            hi = np.searchsorted(run_size, rest[has], "right")
-            scale = np.int64(1) << np.int64(42)
-            keys = run_size * scale + run_low
-            j = np.searchsorted(keys, rest[has] * scale + place_in[has], "right") - 1
-            assert ((j >= lo) & (j < hi)).all(), key
-            found = np.zeros(len(at), np.int64)
-            found[has] = run_first[j] + place_in[has] - run_low[j]
-            rest_in[at] = found
-        return pd.DataFrame({"rest_in": rest_in, "full_from": full_from})
-
-    number = F.array(*[F.struct(F.lit(p).cast(kind).alias("pack"), F.lit(c).cast("bigint").alias("capacity"), F.lit(i).alias("no")) for i, (p, c) in enumerate(packs)])
-    rows = ranked.withColumn("p", F.explode(number)).select(id_col, "tokens", "rank", "p.*")
-    rows = rows.withColumn("w", place("no", "capacity", "tokens", "rank"))
-    full = F.when(F.col("tokens") > F.col("capacity"), F.expr("tokens div capacity")).otherwise(F.lit(0))
-    rest = F.when(F.col("tokens") > F.col("capacity"), F.col("tokens") % F.col("capacity")).otherwise(F.col("tokens"))
-    rows = rows.withColumn("full", full).withColumn("rest", rest)
-    last = F.array(F.struct(F.col("full").alias("piece"), F.col("rest").alias("tokens"), F.col("w.rest_in").alias("container")))
+    planned = cut(histogram.groupBy("no").applyInPandas(sweep, "no int, what int, size long, low long, n long, first long"), "plan")
+    base = planned.where("what = 0").select("no", F.col("size").alias("tokens"), F.col("low").alias("shift"), F.col("first").alias("full_from"))
+    # the runs of one size: bounded by the different gaps, not by the number of texts
+    runs = planned.where("what = 1").groupBy("no", F.col("size").alias("rest")).agg(F.array_sort(F.collect_list(F.struct("low", "n", "first"))).alias("runs"))
+
+    before = Window.partitionBy("tokens").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    each = cells.withColumn("start", F.coalesce(F.sum("n").over(before), F.lit(0))).withColumn("p", F.explode(shape)).select("tokens", "bucket", "n", "start", "p.*")
+    longer = F.col("tokens") > F.col("capacity")
+    each = each.withColumn("full", F.when(longer, F.expr("tokens div capacity")).otherwise(F.lit(0)))
+    each = each.withColumn("rest", F.when(longer, F.col("tokens") % F.col("capacity")).otherwise(F.col("tokens")))
+    each = each.join(base, ["no", "tokens"], "left").join(runs, ["no", "rest"], "left")
+    low = F.col("start") + F.col("shift")
+    met = F.filter("runs", lambda r: (r["low"] < low + F.col("n")) & (r["low"] + r["n"] > low)).alias("runs")
+    by_cell = each.groupBy("tokens", "bucket").agg(
+        F.collect_list(F.struct("start", "pack", "capacity", "full", "rest", "shift", "full_from", met)).alias("plans")
+    )
+    own = Window.partitionBy("tokens", "bucket").orderBy("_id")
+    ranked = items.withColumn("at", F.row_number().over(own).cast("bigint") - 1).join(by_cell, ["tokens", "bucket"])
+    rows = ranked.select("_id", "at", F.explode("plans").alias("p")).select("_id", (F.col("at") + F.col("p.start")).alias("rank"), "p.*")
+    place = F.col("rank") + F.col("shift")
+    run = F.get(F.filter("runs", lambda r: (r["low"] <= place) & (place < r["low"] + r["n"])), 0)
+    rows = rows.withColumn("run", run)
+    rest_in = F.when(F.col("rest") > 0, F.col("run.first") + place - F.col("run.low")).otherwise(F.lit(0))
+    last = F.array(F.struct(F.col("full").alias("piece"), F.col("rest").alias("tokens"), rest_in.alias("container")))
     pieces = F.transform(
         F.sequence(F.lit(0).cast("bigint"), F.col("full") - 1),
-        lambda i: F.struct(i.alias("piece"), F.col("capacity").alias("tokens"), (F.col("w.full_from") + i).alias("container")),
+        lambda i: F.struct(i.alias("piece"), F.col("capacity").alias("tokens"), (F.col("full_from") + F.col("rank") * F.col("full") + i).alias("container")),
     )
     every = F.when(F.col("full") == 0, last).when(F.col("rest") == 0, pieces).otherwise(F.concat(pieces, last))
-    return rows.select(F.col("pack").alias(pack_col), id_col, F.explode(every).alias("x")).select(pack_col, id_col, "x.piece", "x.tokens", "x.container")
+    return rows.select(F.col("pack").alias(pack_col), F.col("_id").alias(id_col), F.explode(every).alias("x")).select(pack_col, id_col, "x.piece", "x.tokens", "x.container")
 
 
 def fill_report(packed: DataFrame, containers: DataFrame, pack_col: str, capacity_col: str) -> DataFrame:

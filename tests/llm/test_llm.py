@@ -276,15 +276,17 @@ def test_plan_is_close_to_best_fit(sizes, capacity):
     assert len(load) <= -(-sum(sizes) // capacity) * 1.25 + 2
 
 
-def test_ranks_in_buckets(spark):
-    df = spark.range(1000).select("id", (F.col("id") % 3).alias("g"))
-    packing_rows, packing.ROWS_PER_BUCKET = packing.ROWS_PER_BUCKET, 100
-    try:
-        ranked = packing.ranks_within(df, "g", "id", 1000).collect()
-    finally:
-        packing.ROWS_PER_BUCKET = packing_rows
-    for g in range(3):
-        assert sorted(r["rank"] for r in ranked if r["g"] == g) == list(range(sum(r["g"] == g for r in ranked)))
+def test_a_size_in_many_buckets_is_placed_once(spark):
+    """One size holds most texts: each rank is used once, so each container holds what the plan gives it."""
+    items = spark.range(4000).select("id", F.when(F.col("id") % 4 > 0, 7).otherwise(F.col("id") % 97).alias("size"))
+    packs = spark.createDataFrame([(None, 40)], "pack string, room int")
+    rows = packing.pack(items, "id", "size", packs, "pack", "room").collect()
+    loads = Counter()
+    for r in rows:
+        loads[r.container] += r.tokens
+    assert sum(loads.values()) == sum(7 if i % 4 else i % 97 for i in range(4000)) and all(n <= 40 for n in loads.values())
+    assert Counter(r.id for r in rows) == Counter({i: 1 if i % 4 or i % 97 <= 40 else -(-(i % 97) // 40) for i in range(4000)})
+    assert packing.pack(items, "id", "size", packs.limit(0), "pack", "room").count() == 0
 
 
 def test_bad_capacity_and_token_counts(spark):
@@ -345,6 +347,27 @@ def test_items_with_one_passage_leak_each(spark):
     assert all(r.sentences == 1 for r in got)
 
 
+def test_what_a_passage_is():
+    """Questions go by their form, not by their place; short sentences and items without a question keep all they have."""
+    p = ["The kilbo engine was first built in Dremo in 1911 by two clerks", "Its handle is made of old copper", "No one in Vantu could ever read the third ledger of it"]
+    of = lambda *items: {(i, " ".join(t)) for _, i, t in leakage.passage_sentences(list(items))}
+    whole = {" ".join(leakage.tokens_of(s)) for s in p}
+    body = ". ".join(p) + "."
+    for text in (body, body + " What was it made of?", body + " Explain why no one in Vantu could read it.", body + ' "Who was it?"'):
+        assert of((1, text)) == {(1, s) for s in whole}
+    assert of((1, body + " Why?"), (2, body + " Who built it first and where was that?")) == {(i, s) for i in (1, 2) for s in whole}
+    others = [(i, f"The {w} valve of {w} opens at noon each day. Nobody in {w} has seen the {w} ledger since. Which of these follows from the passage above?") for i, w in enumerate(("bora", "kile", "sume"), 5)]
+    got = of((1, body + " Which of these follows from the passage above?"), *others)
+    assert {s for i, s in got if i == 1} == whole and not any(s.startswith("which") for _, s in got)
+
+
+def test_too_many_items_are_an_error(spark, monkeypatch):
+    monkeypatch.setattr(leakage, "ITEMS", 1)
+    i = spark.createDataFrame([(1, "a"), (2, "b")], "item_id bigint, text string")
+    with pytest.raises(ValueError):
+        leakage.find_leaks(i, "item_id", "text", i, "item_id", "text")
+
+
 def test_postings_equal_brute_force(spark):
     texts = [(1, "a b a b"), (2, "B. c A-b"), (3, None), (4, "")]
     df = spark.createDataFrame(texts, "id bigint, t string")
@@ -386,6 +409,30 @@ def test_subjects_on_held_out_texts(spark):
     assert subjects.areas_of(docs.limit(0), "id", "text", model).count() == 0
 
 
+def test_steps_send_one_sum_whatever_the_cores(spark, monkeypatch):
+    """Blocks follow the labels; their weighted sum is the gradient of all documents, one row of bounded size."""
+    rows = subject_texts(40, 8)
+    labels = np.array([[a in areas for a in sorted(AREAS)] for *_, areas in rows], dtype=np.float32)
+    m = subjects.Areas(sorted(AREAS))
+    texts = [t for _, t, _ in rows]
+    whole = subjects.Block(texts, labels).gradient(m.embeddings, m.outputs, m.bias, True)
+    parts = [(slice(0, 13), 13), (slice(13, 40), 27)]
+    slopes = []
+    for at, n in parts:
+        where, g, o, b, loss = subjects.Block(texts[at], labels[at]).gradient(m.embeddings, m.outputs, m.bias, True)
+        slopes.append(subjects.slope_row(n, loss, where, g, o, b))
+    (total,) = subjects.add_slopes(iter(slopes))
+    assert len(total) == 1 and total["n"][0] == 40 and np.array_equal(np.frombuffer(total["w"][0], np.int32), whole[0])
+    assert np.allclose(np.frombuffer(total["g"][0], np.float32).reshape(-1, subjects.WIDTH), whole[1], atol=1e-6)
+    assert np.allclose(np.frombuffer(total["b"][0], np.float32), whole[3], atol=1e-6)
+    monkeypatch.setattr(subjects, "PER_BLOCK", 100)
+    rows = subject_texts(300, 4)
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows], "id bigint, text string")
+    marks = spark.createDataFrame([(i, a) for i, _, areas in rows for a in areas], "id bigint, area string")
+    a, b = (subjects.fit_areas(docs.repartition(n), "id", "text", marks, "area", sorted(AREAS), steps=3) for n in (1, 9))
+    assert np.allclose(a.embeddings, b.embeddings, atol=1e-4)
+
+
 def test_gradient_equals_differences():
     rows = subject_texts(12, 8)
     labels = np.array([[a in areas for a in sorted(AREAS)] for *_, areas in rows], dtype=np.float32)
