@@ -1,6 +1,7 @@
 """Training-data operators against brute force, exact round trips and held-out accuracy, on small fixtures."""
 
 import bisect
+import itertools
 import random
 import re
 from collections import Counter
@@ -216,6 +217,52 @@ def test_equal_records_are_no_matter_of_the_window(spark):
     assert best == {tuple(r) for r in matching.assign(matching.match_pairs(a, b, roles, roles)).collect()}
 
 
+ROLES = ("k", "t", "y", "d")
+
+
+def test_heaviest_equals_all_permutations():
+    rng = np.random.default_rng(1)
+    for _ in range(60):
+        n, m = (int(x) for x in rng.integers(1, 5, size=2))
+        w = np.where(rng.random((n, m)) < 0.6, rng.integers(1, 20, (n, m)), 0) / 10
+        wide = np.concatenate([w, np.zeros((n, n))], axis=1)
+        best = max(sum(wide[i, c[i]] for i in range(n)) for c in itertools.permutations(range(m + n), n))
+        got = matching.heaviest(w)
+        assert len({i for i, _ in got}) == len(got) == len({j for _, j in got}) and sum(w[p] for p in got) == pytest.approx(best)
+
+
+@pytest.mark.parametrize("part", [matching.PART, 0])
+def test_assignment_is_one_to_one_first(spark, monkeypatch, part):
+    """In one task and by the auction: the largest total in round one, further versions in the rounds after it."""
+    monkeypatch.setattr(matching, "PART", part)
+    schema = "left_id string, right_id string, confidence double"
+    given = [("P1", "W1", 0.9), ("P1", "W2", 0.95), ("P2", "W2", 0.8), ("P3", "W3", 0.8), ("P3", "W4", 0.9), ("P4", "W5", 0.75), ("P5", "W5", 0.75)]
+    got = {(r.left_id, r.right_id) for r in matching.assign(spark.createDataFrame(given, schema)).collect()}
+    assert got - {("P5", "W5")} in ({("P1", "W1"), ("P2", "W2"), ("P3", "W3"), ("P3", "W4"), ("P4", "W5")}, {("P1", "W1"), ("P2", "W2"), ("P3", "W3"), ("P3", "W4")}) and len(got) == 5
+    rng = random.Random(4)
+    pairs = {(f"l{rng.randrange(12)}", f"r{rng.randrange(14)}"): rng.randint(70, 100) / 100 for _ in range(40)}
+    rows = [(*k, v) for k, v in pairs.items()]
+    got = matching.assign(spark.createDataFrame(rows, schema)).collect()
+    assert {r.right_id for r in got} == {r for _, r in pairs} and len(got) == len({r for _, r in pairs})
+    lefts, rights = sorted({a for a, _ in pairs}), sorted({b for _, b in pairs})
+    w = np.array([[pairs.get((a, b), 0.0) for b in rights] for a in lefts])
+    best = sum(w[p] for p in matching.heaviest(w))
+    own = {}
+    for r in got:
+        own[r.left_id] = max(own.get(r.left_id, 0), pairs[r.left_id, r.right_id])
+    assert sum(own.values()) >= best - 0.01 * len(lefts) - 1e-9
+    assert matching.assign(spark.createDataFrame([], schema)).count() == 0
+
+
+def test_one_title_in_three_decades(spark):
+    """Years tell records of one title apart; for front matter and titles of very many they do not."""
+    left = [(f"k{y}", "A Note on Sparse Codes", y, None) for y in (1980, 1995, 2010)] + [(f"m{y}", "Sampling Trees Fast", 1980 + y, None) for y in range(6)]
+    left += [(f"f{y}", "Invited Talk: Program Committee", y, None) for y in (1990, 2000)] + [("s1", "Twin Paper on Codes", 2001, None), ("s2", "Twin Paper on Codes", 2001, None)]
+    right = [(i, t, y, d) for i, (_, t, y, d) in enumerate(left)]
+    rows = matching.best_matches(spark.createDataFrame(left, "k string, t string, y int, d string"), spark.createDataFrame(right, "k bigint, t string, y int, d string"), ROLES, ROLES).collect()
+    assert {(r.left_id, r.right_id) for r in rows} == {("k1980", "0"), ("k1995", "1"), ("k2010", "2"), ("s1", "11"), ("s2", "12")}
+
+
 def test_a_frequent_doi_is_dealt_out_whole(spark, monkeypatch):
     monkeypatch.setattr(matching, "PAIRS", 10)
     a = spark.createDataFrame([(f"k{i}", f"Part {i}", 2000, "10.1234/a") for i in range(6)], "k string, t string, y int, d string")
