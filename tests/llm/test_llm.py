@@ -130,16 +130,57 @@ def test_endings_and_alignment():
     assert truncation.follow("Something else altogether was said here", full)[0] < 0.8
 
 
-def test_bands_find_openings():
+def test_structured_abstracts_can_be_cut():
+    """A label and a colon make no text whole; a list of keywords does."""
+    for t in ("Background: graphs are old. Results: We show that the new bound is bet", "Our result: we give a bound. We then extend it to digraphs and pro", "See Jones et al.", "We use codes, e.g."):
+        assert truncation.ending(t) == "open"
+    for t in ("A bound. Keywords: graphs, codes", "A bound.\nMSC 2010: 68W90, 05C12", "A bound. Code: https://code.example/x", "A bound. (Joint session)"):
+        assert truncation.ending(t) == "whole"
+
+
+def test_structured_abstracts_are_looked_up(spark):
+    rng = random.Random(9)
+    rows = []
+    for i in range(40):
+        say = lambda n: " ".join("We " + " ".join(rng.choice("bdfgklmnprst") + rng.choice("aeiou") + rng.choice("lmnrst") for _ in range(9)) + " graphs." for _ in range(n))
+        text = "Background: " + say(3) + " Results: " + say(3)
+        rows += [(3 * i, "a", text), (3 * i + 1, "b", text[: text.index("Results: ") + 40].rstrip() + "x"), (3 * i + 2, "c", text + " Keywords: graphs, codes")]
+    got = {r.id for r in truncation.mark_cut(spark.createDataFrame(rows, "id bigint, source string, text string"), "id", "source", "text").where("is_cut").collect()}
+    assert got == {3 * i + 1 for i in range(40)}
+
+
+def changed_words(rng, words, share):
+    return [f"w{rng.randrange(10**6)}" if rng.random() < share else w for w in words]
+
+
+@pytest.mark.parametrize(("share", "least"), [(0.0, 1.0), (0.02, 0.97), (0.05, 0.9)])
+def test_bands_find_openings(share, least):
+    """Share of openings that meet their whole text, by the share of changed words."""
     rng = random.Random(1)
-    texts = [truncation.words_of(abstract(rng, 8)) for _ in range(200)]
-    found = false = 0
-    for i, w in enumerate(texts):
-        part = w[: rng.randint(20, len(w))]
-        keys = set(truncation.ladder_bands(part, True))
-        found += bool(keys & set(truncation.ladder_bands(w, False)))
-        false += sum(bool(keys & set(truncation.ladder_bands(texts[j], False))) for j in range(i + 1, min(i + 20, 200)))
-    assert found == 200 and false < 100
+    texts = [[f"v{rng.randrange(3000)}" for _ in range(rng.randint(60, 220))] for _ in range(400)]
+    parts = [changed_words(rng, w[: rng.randint(30, len(w))], share) for w in texts]
+    keys = [set() for _ in texts]
+    for owner, _, key in zip(*(x.tolist() for x in truncation.ladder_bands(texts, False)), strict=True):
+        keys[owner].add(key)
+    asked = [set() for _ in texts]
+    for owner, _, key in zip(*(x.tolist() for x in truncation.ladder_bands(parts, True)), strict=True):
+        asked[owner].add(key)
+    assert sum(len(a & b) >= truncation.MEET for a, b in zip(asked, keys, strict=True)) >= least * len(texts)
+    assert not any(a & b for a, b in zip(asked[1:], keys, strict=False))
+    # one text by itself has the bands that it has among others
+    alone = truncation.ladder_bands(texts[7:8], False)[2]
+    assert set(alone.tolist()) == keys[7]
+    assert len(truncation.ladder_bands([[], ["a"] * 5], False)[2]) == 0
+
+
+def test_a_shared_opening_is_one_offer(spark):
+    """Very many texts of one opening: those who ask get the vote of all of them, and one alignment for each view."""
+    rng = random.Random(3)
+    opening = abstract(rng, 4)
+    rows = [(i, "a", opening + " " + abstract(rng, 8)) for i in range(60)]
+    rows += [(100 + i, "b", opening[: 120 + 7 * i].rstrip(" .") + "q") for i in range(5)]
+    got = {r.id: r.reason for r in truncation.mark_cut(spark.createDataFrame(rows, "id bigint, source string, text string"), "id", "source", "text").where("is_cut").collect()}
+    assert got == {100 + i: "copy" for i in range(5)}
 
 
 # --- 4 residue ------------------------------------------------------------------------------------------------------
