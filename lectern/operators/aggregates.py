@@ -130,8 +130,22 @@ def crawl_summary(papers: DataFrame) -> DataFrame:
     return rolled.select(F.when(F.col("_all") == 1, "TOTAL").otherwise(F.col("venue")).alias("venue"), "n", only("editions"), only("first"), only("last"))
 
 
-def last_wins(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
-    """One row per key, the one last in ``order``. ``max_by`` keeps one row per key and task before the shuffle."""
+def last_wins(df: DataFrame, keys: list[str], order: list[str], unique: bool = False) -> DataFrame:
+    """One row per key, the one last in ``order``; keys that are NULL are one key.
+
+    With ``unique``, ``order`` is one column whose values no two rows share: the largest of each key comes from a hash
+    aggregate over two columns, and only the columns that are used later are read for the rows themselves. These are
+    shuffled by key and order, so a key that holds a third of all rows is spread. Without, ``max_by`` keeps one row per
+    key and task before the shuffle.
+    """
+    if unique:
+        (last,) = order
+        names = [f"_k{i}" for i in range(len(keys))]
+        newest = df.groupBy(*[F.col(k).alias(n) for k, n in zip(keys, names, strict=True)]).agg(F.max(last).alias("_last"))
+        same = F.col(last) == F.col("_last")
+        for k, n in zip(keys, names, strict=True):
+            same = same & F.col(k).eqNullSafe(F.col(n))
+        return df.join(newest.hint("shuffle_hash"), same, "left_semi")
     whole = F.struct(*[F.col(c) for c in df.columns])
     kept = df.groupBy(*keys).agg(F.max_by(whole, F.struct(*order)).alias("_row"))
     return kept.select("_row.*")

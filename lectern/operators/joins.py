@@ -30,6 +30,20 @@ def by_title_and_year(papers: DataFrame, works: DataFrame, rank: str = "work_id"
     return windows.first_choice(left.join(right, "_t").where(near).drop("_t"), ["dblp_key"], rank)
 
 
+def texts_by_doi(papers: DataFrame, works: DataFrame, text_of, id_of, prefix: str = "https://doi.org/") -> DataFrame:
+    """``dblp_key, abstract, arxiv_id`` by DOI. Text and id are chosen apart, each from the last work that has one.
+
+    So a later work without a valid text leaves the text of an earlier one in place. Of papers with one DOI the last is
+    kept; unsafe DOIs take no part. ``text_of`` and ``id_of`` are columns of ``works``, NULL where there is none.
+    """
+    left = papers.where((F.col("doi") != "") & ~text.unsafe_doi(F.col("doi"))).groupBy(F.lower("doi").alias("_doi")).agg(F.max_by("dblp_key", "row_idx").alias("dblp_key"))
+    right = works.select(text.bare_doi(F.col("doi"), prefix).alias("_doi"), "work_id", text_of.alias("abstract"), id_of.alias("arxiv_id")).where("_doi <> ''")
+    right = right.groupBy("_doi").agg(
+        F.expr("max_by(abstract, work_id) filter (where abstract is not null)").alias("abstract"), F.expr("max_by(arxiv_id, work_id) filter (where arxiv_id is not null)").alias("arxiv_id")
+    )
+    return left.join(right, "_doi").drop("_doi")
+
+
 def with_abstracts(papers: DataFrame, abstracts: DataFrame) -> DataFrame:
     """All papers, with the abstract or ``""``, and whether there is one."""
     joined = papers.join(abstracts, "dblp_key", "left").withColumn("abstract", F.coalesce("abstract", F.lit("")))
@@ -37,11 +51,10 @@ def with_abstracts(papers: DataFrame, abstracts: DataFrame) -> DataFrame:
 
 
 def with_dimension(df: DataFrame, dim: DataFrame, key: str) -> DataFrame:
-    """Inner join with a dimension in which every key must be found; the first unknown key is an error."""
-    unknown = df.select(key).join(dim, key, "left_anti").first()
-    if unknown is not None:
-        raise ValueError(f"unknown {key}: {unknown[0]!r}")
-    return df.join(dim, key)
+    """Join with a dimension in which every key must be found; an unknown key is an error of the job that meets it."""
+    joined = df.join(dim.withColumn("_found", F.lit(True)), key, "left")
+    said = F.concat(F.lit(f"unknown {key}: "), F.coalesce(F.col(key).cast("string"), F.lit("NULL")))
+    return joined.where(F.when(F.col("_found"), True).otherwise(F.raise_error(said).cast("boolean"))).drop("_found")
 
 
 def rule_matches(df: DataFrame, title: str, rules: list[tuple[str, str, str, str]]) -> DataFrame:

@@ -6,7 +6,11 @@ values can be compared.
 
 from __future__ import annotations
 
+import functools
+import json
 import os
+import sqlite3
+import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,8 +19,8 @@ from pyspark.sql import functions as F
 from lectern.functions import dims, text
 from lectern.operators import aggregates, joins, merges, windows
 from lectern.plans import crawl, enrich, report
-from lectern.session import scratch_dir, spread, table
-from lectern.sources import files
+from lectern.session import register_views, scratch_dir, spread, table
+from lectern.sources import files, http, lookup
 from lectern.streaming import refresh
 
 ARXIV_TEST = r"(?i)arxiv\.example/(?:abs|pdf)/([a-z-]+(?:\.[A-Z]{2})?/\d{7}|\d{4}\.\d{4,5})"
@@ -45,7 +49,7 @@ def papers_of(spark: SparkSession, d: str) -> DataFrame:
 
 def valid_of(spark: SparkSession, d: str) -> DataFrame:
     """Papers with the last delivery of each key."""
-    return aggregates.last_wins(papers_of(spark, d), ["dblp_key"], ["row_idx"])
+    return aggregates.last_wins(papers_of(spark, d), ["dblp_key"], ["row_idx"], unique=True)
 
 
 def _sql_labels(title: str, source: str) -> str:
@@ -72,8 +76,8 @@ BUCKET = "cast(year - ((year % 5) + 5) % 5 as varchar) || '-' || cast(year - ((y
 
 def labelled_of(spark: SparkSession, d: str) -> DataFrame:
     """Valid papers with labels. Titles are labelled as they are scanned, where all cores take part, then reduced."""
-    columns = ["dblp_key", "row_idx", "venue", "year", "title", "authors"]
-    return aggregates.last_wins(aggregates.labelled(spread(papers_of(spark, d).select(*columns))), ["dblp_key"], ["row_idx"])
+    columns = ["dblp_key", "row_idx", "venue", "year", "title", "authors", "doi"]
+    return aggregates.last_wins(aggregates.labelled(spread(papers_of(spark, d).select(*columns))), ["dblp_key"], ["row_idx"], unique=True)
 
 
 # --- aggregates -----------------------------------------------------------------------------------------------------
@@ -193,7 +197,7 @@ def last_wins(spark, d):
 
 @query("select dblp_key, position, min(row_idx) as row_idx, arg_min(name, row_idx) as name from paper_authors group by all")
 def first_wins(spark, d):
-    return aggregates.first_wins(table(spark, d, "paper_authors"), ["dblp_key", "position"], ["row_idx"]).select("dblp_key", "position", "row_idx", "name")
+    return aggregates.first_wins(table(spark, d, "paper_authors").select("dblp_key", "position", "row_idx", "name"), ["dblp_key", "position"], ["row_idx"]).select("dblp_key", "position", "row_idx", "name")
 
 
 @query("select row_idx // 64 as paper, string_agg(name, '; ' order by row_idx) as joined from paper_authors group by 1")
@@ -254,7 +258,7 @@ def title_year_join(spark, d):
 )
 def papers_with_abstracts(spark, d):
     a = table(spark, d, "abstracts").where("coalesce(abstract, '') <> ''")
-    last = aggregates.last_wins(a, ["dblp_key"], ["abstract_id"]).select("dblp_key", "abstract")
+    last = aggregates.last_wins(a, ["dblp_key"], ["abstract_id"], unique=True).select("dblp_key", "abstract")
     return joins.with_abstracts(valid_of(spark, d).select("dblp_key"), last)
 
 
@@ -296,7 +300,7 @@ _SOURCE = "(select dblp_key, arg_max(abstract, abstract_id) as abstract from abs
 
 def _from_source(spark, d, source):
     a = table(spark, d, "abstracts").where((F.col("source") == source) & (F.coalesce("abstract", F.lit("")) != ""))
-    return aggregates.last_wins(a, ["dblp_key"], ["abstract_id"]).select("dblp_key", "abstract")
+    return aggregates.last_wins(a, ["dblp_key"], ["abstract_id"], unique=True).select("dblp_key", "abstract")
 
 
 @query(
@@ -524,21 +528,33 @@ _PARSED = (
     f"with t as (select *, replace(replace(regexp_replace(coalesce(title, ''), '^{_SP}+|{_SP}+$', '', 'g'), '&amp;', '&'), '&AMP;', '&') as s from papers), "
     "c as (select *, case when right(s, 1) = '.' and right(s, 2) <> '..' then left(s, length(s) - 1) else s end as clean from t) "
     "select dblp_key, venue, coalesce(year, 1999) as year, clean as title, coalesce(pages, '') as pages, coalesce(doi, '') as doi, type, "
-    "array_to_string(list_transform(authors, lambda a: a.name), ';') as names from c where clean <> '' and type <> 'Editorship' "
+    "array_to_string(list_transform(authors, lambda a: a.name || case when row_idx % 7 = 0 then ' \"Q\"' else '' end), ';') as names from c where clean <> '' and type <> 'Editorship' "
     f"and not regexp_matches(clean, '^(?i)({dims.FRONT_MATTER})') qualify row_number() over (partition by toc_key, dblp_key order by row_idx) = 1"
 )
 
 
 @query(_PARSED)
 def parse_hits(spark, d):
-    """Responses are put together from the papers, one hit each, then parsed; ids and names must come back."""
+    """Responses are put together from the papers, then parsed; ids and names must come back.
+
+    Authors come in all forms: a bare string, one object, an array of objects, an array that mixes both; some names
+    hold an entity that stands for a quote; pages hold one hit (an object) or several (an array).
+    """
     p = papers_of(spark, d)
-    people = F.transform("authors", lambda a: F.struct(a["pid"].alias("@pid"), a["name"].alias("text")))
-    info = F.struct("title", F.col("year").cast("string").alias("year"), "pages", "doi", "ee", F.col("dblp_key").alias("key"), F.col("dblp_url").alias("url"), "type", "access", F.struct(people.alias("author")).alias("authors"))
-    hit = F.struct(info.alias("info"))
-    body = F.to_json(F.struct(F.struct(F.struct(F.lit("1").alias("@total"), hit.alias("hit")).alias("hits")).alias("result")))
-    pages = p.select("venue", "venue_full", "toc_key", F.lit(1999).alias("toc_year"), F.col("row_idx").alias("offset"), body.alias("body"))
-    rows = crawl.parse_hits(pages)
+    name = lambda a: F.when(F.col("row_idx") % 7 == 0, F.concat(a["name"], F.lit(" &quot;Q&quot;"))).otherwise(a["name"])
+    quoted = lambda c: F.regexp_replace(F.to_json(F.array(c)), r"\A\[|\]\z", "")
+    person = lambda a: F.when((a["pid"] == "") & (F.col("row_idx") % 2 == 0), quoted(name(a))).otherwise(F.to_json(F.struct(a["pid"].alias("@pid"), name(a).alias("text"))))
+    people = F.transform("authors", person)
+    bare = (F.size("authors") == 1) & (F.col("row_idx") % 5 > 0)
+    author = F.when(bare, F.get(people, 0)).otherwise(F.concat(F.lit("["), F.array_join(people, ","), F.lit("]")))
+    info = F.to_json(F.struct("title", F.col("year").cast("string").alias("year"), "pages", "doi", "ee", F.col("dblp_key").alias("key"), F.col("dblp_url").alias("url"), "type", "access"))
+    hit = F.concat(F.lit('{"info":'), F.rtrim(info, F.lit("}")), F.lit(',"authors":{"author":'), author, F.lit("}}}"))
+    page = p.select("venue", "venue_full", "toc_key", F.floor(F.col("row_idx") / 40).alias("offset"), F.struct("row_idx", hit.alias("hit")).alias("h"))
+    hits = F.transform(F.array_sort(F.collect_list("h")), lambda h: h["hit"])
+    pages = page.groupBy("venue", "venue_full", "toc_key", "offset").agg(hits.alias("hits"))
+    listed = F.when(F.size("hits") == 1, F.get("hits", 0)).otherwise(F.concat(F.lit("["), F.array_join("hits", ","), F.lit("]")))
+    body = F.concat(F.lit('{"result":{"hits":{"@total":"1","hit":'), listed, F.lit("}}}"))
+    rows = crawl.parse_hits(pages.withColumn("body", body).withColumn("toc_year", F.lit(1999)))
     return rows.select("dblp_key", "venue", "year", "title", "pages", "doi", "type", F.array_join("authors.name", ";").alias("names"))
 
 
@@ -581,7 +597,8 @@ def csv_round_trip(spark, d):
 @query("select dblp_key, arg_max(abstract, abstract_id) as abstract from abstracts where coalesce(abstract, '') <> '' group by 1")
 def keyed_jsonl(spark, d):
     path = _fresh(spark, "keyed")
-    rows = table(spark, d, "abstracts").where("coalesce(abstract, '') <> ''").coalesce(1).sortWithinPartitions("abstract_id").select("dblp_key", "abstract")
+    rows = table(spark, d, "abstracts").where("coalesce(abstract, '') <> ''")
+    rows = rows.repartitionByRange(6, "abstract_id").sortWithinPartitions("abstract_id").select("dblp_key", "abstract")
     files.write_jsonl(rows, path)
     return files.read_jsonl_keyed(spark, path)
 
@@ -619,13 +636,189 @@ def preprint_feed(papers: DataFrame, works: DataFrame, abstracts: DataFrame) ->
     return texts.join(keys, "dblp_key").select(F.concat(F.lit("https://arxiv.example/abs/"), "_id").alias("id"), "summary")
 
 
-@query()
+def _sql_clean(value: str) -> str:
+    spaced = f"trim(regexp_replace({value}, '{_SP}+', ' ', 'g'))"
+    return f"(case when length({spaced}) >= 40 and not starts_with(regexp_replace(lower({spaced}), '[^a-z0-9]+', '', 'g'), 'noabstract') then {spaced} end)"
+
+
+_ID = (
+    "regexp_extract(list_filter(flatten(list_transform(locations, lambda l: [l.landing_page_url, l.pdf_url])), lambda u: regexp_matches(u, "
+    "'(?i)arxiv\\.example/(abs|pdf)/([a-z-]+(\\.[A-Z]{2})?/\\d{7}|\\d{4}\\.\\d{4,5})'))[1], '(?i)arxiv\\.example/(?:abs|pdf)/([a-z-]+(?:\\.[A-Z]{2})?/\\d{7}|\\d{4}\\.\\d{4,5})', 1)"
+)
+_ENRICHED = f"""
+with v as {VALID},
+t as (select work_id, string_agg(w, ' ' order by p, w) as x from (select work_id, e.key as w, unnest(e.value) as p from (select work_id, unnest(map_entries(abstract_inverted_index)) as e from works)) group by 1),
+w as (select work_id, lower(replace(coalesce(doi, ''), 'https://doi.example/', '')) as k, display_name, publication_year as y, nullif({_ID}, '') as aid, {_sql_clean('t.x')} as txt from works left join t using (work_id)),
+wt as (select k, arg_max(txt, work_id) filter (txt is not null) as txt, arg_max(aid, work_id) filter (aid is not null) as aid from w where k <> '' group by 1),
+p as (select lower(doi) as k, arg_max(dblp_key, row_idx) as dblp_key from v where doi <> '' and not contains(doi, '|') and not contains(doi, ',') group by 1),
+d as (select dblp_key, txt, aid from p join wt using (k)),
+last as (select k, arg_max(struct_pack(a := aid), work_id).a as aid from w where k <> '' group by 1),
+feed as (select last.aid as aid, {_sql_clean('abstract')} as txt from abstracts join v using (dblp_key) join last on last.k = lower(v.doi) where abstracts.source = 'arxiv' and last.aid is not null and v.doi <> ''),
+longer as (select dblp_key, arg_max(feed.txt, (length(feed.txt), feed.txt)) as txt from d join feed on feed.aid = d.aid where feed.txt is not null group by 1),
+o as (select dblp_key, txt from d where txt is not null),
+f as (select coalesce(o.dblp_key, n.dblp_key) as dblp_key, case when n.txt is not null and (o.txt is null or length(n.txt) > length(o.txt) * cast(1.05 as double)) then n.txt else o.txt end as txt from o full join longer n on o.dblp_key = n.dblp_key),
+todo as (select dblp_key, year, regexp_replace(lower(title), '[^a-z0-9]+', '', 'g') as nt from v where (coalesce(doi, '') = '' or contains(doi, '|') or contains(doi, ',') or dblp_key not in (select dblp_key from f)) and length({_SEARCH}) >= 8),
+m as (select todo.dblp_key, arg_min(struct_pack(x := w.txt), w.work_id).x as txt from todo join w on regexp_replace(lower(w.display_name), '[^a-z0-9]+', '', 'g') = nt where nt <> '' and (w.y is null or w.y = 0 or abs(w.y - todo.year) <= 1) group by 1)
+select dblp_key, txt as abstract from f union all select dblp_key, txt from m where txt is not null and dblp_key not in (select dblp_key from f)
+"""
+
+
+@query(_ENRICHED)
 def enriched(spark, d):
     """Abstracts of papers by the whole lookup plan; the preprint feed is the abstracts of that source."""
     feed = preprint_feed(valid_of(spark, d), table(spark, d, "works"), table(spark, d, "abstracts"))
     return enrich.enrich(valid_of(spark, d), table(spark, d, "works"), feed, pattern=ARXIV_TEST, doi_prefix="https://doi.example/")
 
 
+_TOPICS = ", ".join(f"'{t}'" for t in dims.topic_ids())
+_COMPACT = (
+    f"with l as (select * from {LABELLED} where title <> ''), n as (select row_idx, unnest(range(len(authors))) as pos, unnest(authors, recursive := false) as a from l), "
+    "k as (select a.name as name, row_number() over (order by min(row_idx * 100000 + pos)) - 1 as no from n group by a.name), "
+    "s as (select row_idx, string_agg(cast(no as varchar), ',' order by pos) as nos from n join k on k.name = n.a.name group by 1), "
+    "c as (select dblp_key, v.ord as vid, row_number() over (order by l.year desc nulls last, v.ord, title nulls first, dblp_key nulls first, l.row_idx) - 1 as browse_idx, coalesce(nos, '') as authors, "
+    f"array_to_string(list_transform(labels, lambda x: list_position([{_TOPICS}], x) - 1), ',') as topics from l join venues v on v.slug = l.venue left join s on s.row_idx = l.row_idx) "
+)
+
+
+def _compacted(spark, d):
+    return report.compact(labelled_of(spark, d).where("title <> ''"), table(spark, d, "venues"))
+
+
+@query(_COMPACT + "select * from c")
+def compact_report(spark, d):
+    """Papers in browse order, dictionary-encoded, with their topics."""
+    c = _compacted(spark, d)
+    return c.select("dblp_key", "vid", "browse_idx", F.array_join("author_nos", ",").alias("authors"), F.array_join("topic_nos", ",").alias("topics"))
+
+
+@query(
+    _COMPACT + ", a as (select dblp_key, arg_max(abstract, abstract_id) as abstract from abstracts where coalesce(abstract, '') <> '' group by 1) "
+    "select browse_idx // 200 as shard, count(*) as n, md5(string_agg(coalesce(abstract, ''), '|' order by browse_idx)) as digest from c left join a using (dblp_key) group by 1"
+)
+def report_shards(spark, d):
+    """Shards of abstracts in browse order, as they are published."""
+    a = table(spark, d, "abstracts").where("coalesce(abstract, '') <> ''")
+    last = aggregates.last_wins(a, ["dblp_key"], ["abstract_id"], unique=True).select("dblp_key", "abstract")
+    return report.shards(_compacted(spark, d), last).select("shard", F.size("texts").cast("bigint").alias("n"), F.md5(F.array_join("texts", "|")).alias("digest"))
+
+
+@query(
+    f"with l as (select *, {BUCKET} as bucket from {LABELLED}), x as (select *, unnest(labels) as topic from l) "
+    "select 'per_venue_year' as part, venue as outer_key, coalesce(cast(year as varchar), 'None') as inner_key, count(*) as n from l group by all "
+    "union all select 'topic_by_venue', venue, topic, count(*) from x group by all union all select 'topic_by_bucket', bucket, topic, count(*) from x where bucket is not null group by all "
+    "union all select 'bucket_total', bucket, '', count(*) from l where bucket is not null group by all"
+)
+def report_document(spark, d):
+    """The nested counts of the report document, as rows."""
+    doc = report.build(valid_of(spark, d), table(spark, d, "venues"))
+    rows = [(part, o, i, n) for part in ("per_venue_year", "topic_by_venue", "topic_by_bucket") for o, inner in doc[part].items() for i, n in inner.items()]
+    rows += [("bucket_total", b, "", n) for b, n in doc["bucket_total"].items()]
+    return spark.createDataFrame(rows, "part string, outer_key string, inner_key string, n bigint")
+
+
+@query(
+    f"with v as (select * from {VALID} where dblp_key <> ''), n as (select dblp_key, unnest(range(len(authors))) as position, unnest(authors, recursive := false) as a from v) "
+    "select 'papers' as name, count(*) as n, cast(coalesce(sum(year), 0) as bigint) as total from v union all select 'authors', count(distinct a.pid), 0 from n where a.pid <> '' "
+    "union all select 'paper_authors', count(*), cast(sum(position) as bigint) from n"
+)
+def sqlite_tables(spark, d):
+    """The three stored tables of the SQLite sink, read back."""
+    with tempfile.TemporaryDirectory() as folder:  # the sink is one file of the driver
+        files.write_sqlite(papers_of(spark, d), f"{folder}/papers.db")
+        with sqlite3.connect(f"{folder}/papers.db") as db:
+            one = lambda q: db.execute(q).fetchone()[0]
+            rows = [(t, one(f"select count(*) from {t}"), one(f"select coalesce(sum({c}), 0) from {t}")) for t, c in (("papers", "year"), ("authors", "0"), ("paper_authors", "position"))]
+    return spark.createDataFrame(rows, "name string, n bigint, total bigint")
+
+
+def _offline_pages(spark, d):
+    """Pages of five hits for every edition; every seventh edition's server fails after the first page."""
+    http.register(spark)
+    n = papers_of(spark, d).where("toc_key is not null").groupBy("toc_key").agg(F.count("*").alias("n")).collect()  # editions are a fixed table
+    wanted = [f"{r.toc_key}#{r.n}" + ("!5" if len(r.toc_key) % 7 == 0 else "") for r in n]
+    given = {"url": "https://search.example/api", "queries": json.dumps(wanted), "pageSize": 5, "delay": 0, "opener": "lectern.sources.offline:paged"}
+    return spark.read.format("lectern_pages").options(**given).load()
+
+
+_EXPECTED = "(select toc_key, count(*) as n, length(toc_key) % 7 = 0 as bad from papers where toc_key is not null group by 1)"
+
+
+@query(f"select toc_key, n as expected, case when bad then least(n, 5) else n end as fetched, not bad or n <= 5 as complete from {_EXPECTED}")
+def crawl_status(spark, d):
+    """Rows expected and received per edition, from a paged source that fails for some."""
+    s = crawl.status(_offline_pages(spark, d))
+    return s.select(F.regexp_extract("query", "(.*)#", 1).alias("toc_key"), F.col("expected").cast("bigint").alias("expected"), "fetched", "complete")
+
+
+@query(
+    "select cast(sum(case when not bad then (n + 4) // 5 when n <= 5 then 1 else 2 end) as bigint) as requests, cast(0 as bigint) as cached, cast(0 as bigint) as retries, "
+    f"count(*) filter (bad and n > 5) as failed from {_EXPECTED}"
+)
+def http_counters(spark, d):
+    """What the client counted over all requests of a crawl."""
+    return lookup.counters(_offline_pages(spark, d))
+
+
+@query("select doi, 'Work ' || doi as display_name, doi || ' text' as text from (select distinct lower(doi) as doi from papers where doi <> '' and not contains(doi, '|') and not contains(doi, ',')) where length(doi) % 2 = 0")
+def doi_lookup(spark, d):
+    """Works looked up in batches of fifty DOIs, from answers that are kept."""
+    dois = papers_of(spark, d).where("doi <> ''").where(~text.unsafe_doi(F.col("doi"))).select(F.lower("doi").alias("doi"))
+    given = {"opener": "lectern.sources.offline:lookup", "delay": 0}
+    works = lookup.works_of(lookup.fetch(spark, dois, "doi", "doi", "https://works.example/api", _fresh(spark, "answers"), given, group=400))
+    return works.select("doi", "display_name", F.array_join(F.sort_array(F.map_keys("abstract_inverted_index")), " ").alias("text"))
+
+
+@query("select toc_key as id, replace(stem, '&', '&amp;') || ' & more' as summary from tocs")
+def feed_entries(spark, d):
+    """Answers in the form of Atom feeds, one file each, written and read back; entities are resolved."""
+    path = _fresh(spark, "feed")
+    entry = F.concat(F.lit("<entry><id>"), "toc_key", F.lit("</id><summary>"), F.replace("stem", F.lit("&"), F.lit("&amp;amp;")), F.lit(" &amp; more</summary></entry>"))
+    feed = F.concat(F.lit('<feed xmlns="http://www.w3.org/2005/Atom">'), F.array_join(F.collect_list(entry), "\n"), F.lit("</feed>"))
+    table(spark, d, "tocs").groupBy("venue").agg(feed.alias("value")).select("value").write.text(path)
+    return lookup.entries_of(files.read_pages(spark, path))
+
+
+@query("select toc_key, row_number() over (order by coalesce(year, 0), stem, toc_key) - 1 as ordinal from tocs")
+def sorted_editions(spark, d):
+    return crawl.sorted_editions(table(spark, d, "tocs").select("toc_key", "stem", "year")).select("toc_key", "ordinal")
+
+
+@query("select row_idx, venue from papers where venue in (select slug from venues)")
+def bag_union(spark, d):
+    """Rows of all venues put together, repeats kept."""
+    p = papers_of(spark, d).select("row_idx", "venue")
+    parts = [p.where(F.col("venue") == r.slug) for r in table(spark, d, "venues").select("slug").collect()]
+    return functools.reduce(DataFrame.unionByName, parts)
+
+
+@query(f"select aid, row_number() over (order by aid) - 1 as ordinal from (select distinct {_ID} as aid from works) where aid <> ''")
+def sorted_arxiv_ids(spark, d):
+    """Distinct preprint ids in order, as they are asked for."""
+    ids = table(spark, d, "works").select(text.arxiv_of_locations(F.col("locations"), ARXIV_TEST).alias("aid")).where("aid is not null").distinct()
+    return windows.ordinals(ids, "aid")
+
+
+@query("select dblp_key, arg_max(abstract, abstract_id) as abstract from abstracts where coalesce(abstract, '') <> '' group by 1")
+def atomic_jsonl(spark, d):
+    """The atomic sink, written over an older version of itself."""
+    path = _fresh(spark, "atomic")
+    a = table(spark, d, "abstracts").where("coalesce(abstract, '') <> ''")
+    last = aggregates.last_wins(a, ["dblp_key"], ["abstract_id"], unique=True).select("dblp_key", "abstract")
+    files.write_atomic(last.where("abstract like 'A%'"), path, "dblp_key")
+    files.write_atomic(last, path, "dblp_key")
+    return files.read_jsonl(spark, path, files.ABSTRACTS)
+
+
+_VIEWS = "select v.name, count(*) as n, count(distinct p.dblp_key) as n_keys from papers p join venues v on v.slug = p.venue where p.year >= 2000 group by v.name"
+
+
+@query(_VIEWS)
+def sql_over_views(spark, d):
+    """The same SQL, over temporary views of the tables."""
+    register_views(spark, d)
+    return spark.sql(_VIEWS)
+
+
 def queries() -> dict:
     return dict(QUERIES)
 

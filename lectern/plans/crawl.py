@@ -12,7 +12,7 @@ HIT = "array<struct<info:struct<title:string,year:string,pages:string,doi:string
 
 
 def editions(pages: DataFrame, venues: DataFrame) -> DataFrame:
-    """``venue, stem, toc_key, year`` of the editions linked from index pages ``venue, body``, each once, in order of year and stem."""
+    """``venue, stem, toc_key, year`` of the editions linked from index pages ``venue, body``, each once, in no order; ``sorted_editions`` puts them in order."""
     joined = pages.join(venues.select(F.col("slug").alias("venue"), "dblp_dir", "toc_prefix"), "venue")
     links = joined.select("venue", "dblp_dir", "toc_prefix", F.explode(text.edition_links(F.col("body"), F.col("dblp_dir"), F.col("toc_prefix"))).alias("stem"))
     return links.select(
@@ -21,6 +21,11 @@ def editions(pages: DataFrame, venues: DataFrame) -> DataFrame:
     ).distinct()
 
 
+def sorted_editions(tocs: DataFrame) -> DataFrame:
+    """Editions in the order they are crawled in, with their place: an unknown year comes first, then by year and stem."""
+    return windows.ordinals(tocs.withColumn("_y", F.coalesce("year", F.lit(0))), "_y", "stem", "toc_key").drop("_y")
+
+
 def in_range(df: DataFrame, since: int | None = None, until: int | None = None, year: str = "year") -> DataFrame:
     """Rows within the years; an unknown year (NULL or 0) is outside of either bound."""
     y = F.nullif(F.col(year), F.lit(0))
@@ -53,8 +58,10 @@ def parse_hits(pages: DataFrame, include_editorship: bool = False, include_front
     """Papers from ``venue, venue_full, toc_key, toc_year, offset, body``, in page order, first copy of an edition kept."""
     hits = pages.select("venue", "venue_full", "toc_key", "toc_year", "offset", F.posexplode(hits_of(F.col("body"))).alias("place", "hit"))
     i = lambda c: F.coalesce(F.col(f"hit.info.{c}"), F.lit(""))
-    # entities are resolved in the raw JSON-free fields; names of one paper go through as one string
-    people = authors_of(text.unescape_html(F.col("hit.info.authors")))
+    # names are taken out of the JSON first: an entity in it may stand for a quote
+    hits = hits.withColumn("_people", authors_of(F.col("hit.info.authors")))
+    hits = hits.withColumn("_names", text.unescape_all(F.col("_people.name")))
+    people = F.zip_with("_people", "_names", lambda a, n: F.struct(n.alias("name"), a["pid"].alias("pid")))
     rows = hits.select(
         "venue", "venue_full", text.record_year(F.col("hit.info.year"), F.col("toc_year")).alias("year"), text.clean_title(i("title")).alias("title"),
         F.transform(people, lambda a: F.struct(text.clean_name(a["name"]).alias("name"), a["name"].alias("raw_name"), a["pid"].alias("pid"))).alias("authors"),

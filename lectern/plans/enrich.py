@@ -16,10 +16,11 @@ def enrich(papers: DataFrame, works: DataFrame, preprints: DataFrame, limit: int
     """
     if limit:
         papers = papers.orderBy("row_idx").limit(limit)
-    by_doi = joins.by_doi(papers, works, prefix=doi_prefix)
-    found = by_doi.select("dblp_key", text.clean_abstract(text.inverted_to_text(F.col("abstract_inverted_index"))).alias("abstract")).where("abstract is not null")
+    valid = text.clean_abstract(text.inverted_to_text(F.col("abstract_inverted_index")))
+    by_doi = joins.texts_by_doi(papers, works, valid, text.arxiv_of_locations(F.col("locations"), pattern), doi_prefix)
+    found = by_doi.select("dblp_key", "abstract").where("abstract is not null")
     if arxiv:
-        ids = by_doi.select("dblp_key", text.arxiv_of_locations(F.col("locations"), pattern).alias("arxiv_id")).where("arxiv_id is not null")
+        ids = by_doi.select("dblp_key", "arxiv_id").where("arxiv_id is not null")
         entries = preprints.select(text.arxiv_of_url(F.col("id"), pattern).alias("arxiv_id"), text.clean_abstract(F.col("summary")).alias("abstract"))
         longer = ids.join(entries.where("arxiv_id <> '' and abstract is not null"), "arxiv_id").select("dblp_key", "abstract")
         longer = longer.groupBy("dblp_key").agg(F.max_by("abstract", F.struct(F.length("abstract"), "abstract")).alias("abstract"))
@@ -27,6 +28,6 @@ def enrich(papers: DataFrame, works: DataFrame, preprints: DataFrame, limit: int
     if title_match:
         todo = merges.work_list(papers, found).where(text.search_query(F.col("title")).isNotNull())
         matched = joins.by_title_and_year(todo, works)
-        titled = matched.select("dblp_key", text.clean_abstract(text.inverted_to_text(F.col("abstract_inverted_index"))).alias("abstract")).where("abstract is not null")
+        titled = matched.select("dblp_key", valid.alias("abstract")).where("abstract is not null")
         found = found.join(titled.select("dblp_key"), "dblp_key", "left_anti").unionByName(titled)
     return found

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lectern.functions import text
 from lectern.operators import aggregates, joins, windows
+from lectern.session import cut
 
 
 def occurrences(papers: DataFrame) -> DataFrame:
@@ -31,7 +32,7 @@ def compact(papers: DataFrame, venues: DataFrame) -> DataFrame:
     rows = rows.select(
         "vid", "year", "title", F.coalesce("author_nos", F.array().cast("array<bigint>")).alias("author_nos"), "doi", "dblp_key", topic_nos.alias("topic_nos"), "row_idx"
     )
-    return windows.ordinals(rows, F.desc("year"), "vid", "title", "dblp_key", name="browse_idx")
+    return windows.ordinals(rows, F.desc("year"), "vid", "title", "dblp_key", "row_idx", name="browse_idx")
 
 
 def shards(compacted: DataFrame, abstracts: DataFrame, size: int = 200) -> DataFrame:
@@ -46,33 +47,30 @@ def build(papers: DataFrame, venues: DataFrame, rules=None) -> dict:
 
     An empty table gives an empty report; a venue without papers is left out.
     """
-    rows = aggregates.labelled(papers, rules=rules).cache()
-    try:
-        as_dicts = lambda df: [r.asDict(True) for r in df.collect()]
-        nested: dict[str, dict] = {}
-        for r in aggregates.count_by(rows, "venue", "year").orderBy("venue", "year").collect():
-            nested.setdefault(r.venue, {})[str(r.year)] = r.n
-        by_venue: dict[str, dict] = {}
-        for r in aggregates.topic_counts(rows, "venue").orderBy("venue", "topic").collect():
-            by_venue.setdefault(r.venue, {})[r.topic] = r.n
-        bucketed = rows.withColumn("bucket", text.bucket(F.col("year"))).where("bucket is not null")
-        by_bucket: dict[str, dict] = {}
-        for r in aggregates.topic_counts(bucketed, "bucket").orderBy("bucket", "topic").collect():
-            by_bucket.setdefault(r.bucket, {})[r.topic] = r.n
-        trends = aggregates.term_trends(rows)
-        dim = aggregates.topic_dim(papers.sparkSession, rules)
-        names = {r.slug: r.name for r in venues.collect()}
-        return {
-            "meta": as_dicts(aggregates.overview(rows))[0],
-            "venues": [r | {"name": names.get(r["venue"])} for r in as_dicts(aggregates.venue_summary(rows).orderBy("venue"))],
-            "topics": as_dicts(aggregates.zero_filled(dim, aggregates.topic_counts(rows), "topic").orderBy("ord").drop("ord")),
-            "per_venue_year": nested,
-            "topic_by_venue": by_venue,
-            "topic_by_bucket": by_bucket,
-            "bucket_total": {r.bucket: r.n for r in aggregates.count_by(bucketed, "bucket").orderBy("bucket").collect()},
-            "top_authors": as_dicts(aggregates.top_authors(aggregates.author_stats(occurrences(rows))).drop("author", "first_seen")),
-            "rising": as_dicts(aggregates.rising(trends)),
-            "declining": as_dicts(aggregates.declining(trends)),
-        }
-    finally:
-        rows.unpersist()
+    rows = cut(aggregates.labelled(papers.select("row_idx", "venue", "year", "title", "authors"), rules=rules), "labelled")
+    as_dicts = lambda df: [r.asDict(True) for r in df.collect()]
+    nested: dict[str, dict] = {}
+    for r in aggregates.count_by(rows, "venue", "year").orderBy("venue", "year").collect():
+        nested.setdefault(r.venue, {})[str(r.year)] = r.n
+    by_venue: dict[str, dict] = {}
+    for r in aggregates.topic_counts(rows, "venue").orderBy("venue", "topic").collect():
+        by_venue.setdefault(r.venue, {})[r.topic] = r.n
+    bucketed = rows.withColumn("bucket", text.bucket(F.col("year"))).where("bucket is not null")
+    by_bucket: dict[str, dict] = {}
+    for r in aggregates.topic_counts(bucketed, "bucket").orderBy("bucket", "topic").collect():
+        by_bucket.setdefault(r.bucket, {})[r.topic] = r.n
+    trends = aggregates.term_trends(rows)
+    dim = aggregates.topic_dim(papers.sparkSession, rules)
+    names = {r.slug: r.name for r in venues.collect()}
+    return {
+        "meta": as_dicts(aggregates.overview(rows))[0],
+        "venues": [r | {"name": names.get(r["venue"])} for r in as_dicts(aggregates.venue_summary(rows).orderBy("venue"))],
+        "topics": as_dicts(aggregates.zero_filled(dim, aggregates.topic_counts(rows), "topic").orderBy("ord").drop("ord")),
+        "per_venue_year": nested,
+        "topic_by_venue": by_venue,
+        "topic_by_bucket": by_bucket,
+        "bucket_total": {r.bucket: r.n for r in aggregates.count_by(bucketed, "bucket").orderBy("bucket").collect()},
+        "top_authors": as_dicts(aggregates.top_authors(aggregates.author_stats(occurrences(rows))).drop("author", "first_seen")),
+        "rising": as_dicts(aggregates.rising(trends)),
+        "declining": as_dicts(aggregates.declining(trends)),
+    }

@@ -37,15 +37,27 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def register_views(spark: SparkSession, sf_dir: str) -> list[str]:
+    """Temporary views of all tables of a folder, for SQL; their names are returned."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(sf_dir)
+    files = path.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(path)
+    names = sorted(f.getPath().getName().removesuffix(".parquet") for f in files if f.getPath().getName().endswith(".parquet"))
+    for name in names:
+        table(spark, sf_dir, name).createOrReplaceTempView(name)
+    return names
+
+
 def scratch_dir(spark: SparkSession) -> str:
     """The folder all executors share.
 
-    The cluster names it in ``spark.checkpoint.dir``. Only where that is unset (tests on one machine) a
-    temporary folder of this machine is used.
+    The cluster names it in ``spark.checkpoint.dir``. Only where that is unset and all tasks run on this machine (tests)
+    a temporary folder of this machine is used; a cluster without the setting is an error.
     """
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     global _own_dir
     if _own_dir is None:
         _own_dir = tempfile.mkdtemp(prefix="lectern-")

@@ -5,7 +5,6 @@ from __future__ import annotations
 import csv
 import json
 import os
-import shutil
 import sqlite3
 import uuid
 
@@ -32,12 +31,15 @@ def read_jsonl(spark: SparkSession, path: str, schema: str | T.StructType = PAPE
 def read_jsonl_keyed(spark: SparkSession, path: str, schema: str = ABSTRACTS, key: str = "dblp_key") -> DataFrame:
     """JSON lines by key; the last line of a key wins; a missing file is an empty table.
 
-    Lines are ordered by file and place in it, which the reader knows as the row's generated id.
+    Lines are ordered by file name, block and place in the block: generated ids alone follow the order in which blocks
+    are read, and large blocks are read first.
     """
     if not os.path.exists(path) and "://" not in path:
         return spark.createDataFrame([], schema)
-    rows = read_jsonl(spark, path, schema).withColumn("_at", F.monotonically_increasing_id())
-    return aggregates.last_wins(rows, [key], ["_at"]).drop("_at")
+    rows = read_jsonl(spark, path, schema).withColumns(
+        {"_file": F.col("_metadata.file_path"), "_block": F.col("_metadata.file_block_start"), "_at": F.monotonically_increasing_id()}
+    )
+    return aggregates.last_wins(rows, [key], ["_file", "_block", "_at"]).drop("_file", "_block", "_at")
 
 
 def read_json_document(spark: SparkSession, path: str) -> DataFrame:
@@ -79,6 +81,7 @@ def read_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 def write_csv_file(df: DataFrame, path: str) -> None:
     """One file with a byte-order mark and CRLF line ends. Rows stream through the driver one partition at a time."""
+    os.makedirs(os.path.dirname(path) or ".", exist_ok=True)
     with open(path, "w", encoding="utf-8-sig", newline="") as f:
         writer = csv.writer(f)
         writer.writerow(df.columns)
@@ -87,12 +90,21 @@ def write_csv_file(df: DataFrame, path: str) -> None:
 
 
 def write_atomic(df: DataFrame, path: str, *order: str) -> None:
-    """JSON lines in key order; the folder appears under its name only when it is whole."""
-    tmp = f"{path}.{uuid.uuid4().hex}"
+    """JSON lines in key order; the folder appears under its name only when it is whole.
+
+    Works on any file system Spark knows. The old folder is moved aside first and deleted last, so at every moment
+    one of the two is there.
+    """
+    tmp, old = (f"{path}.{uuid.uuid4().hex}" for _ in range(2))
     df.orderBy(*order).write.option("ignoreNullFields", "false").json(tmp)
-    if os.path.exists(path):
-        shutil.rmtree(path)
-    os.rename(tmp, path)
+    jvm = df.sparkSession._jvm
+    at = lambda p: jvm.org.apache.hadoop.fs.Path(p)
+    fs = at(path).getFileSystem(df.sparkSession._jsc.hadoopConfiguration())
+    if fs.exists(at(path)):
+        fs.rename(at(path), at(old))
+    if not fs.rename(at(tmp), at(path)):
+        raise OSError(f"{tmp} could not be moved to {path}")
+    fs.delete(at(old), True)
 
 
 def write_tables(tables: dict[str, DataFrame], folder: str, partition: dict[str, str] | None = None, replace_only_given: bool = True) -> None:
@@ -110,7 +122,7 @@ def write_formats(papers: DataFrame, folder: str, stem: str, formats: tuple[str,
     if "jsonl" in formats:
         write_jsonl(ordered, f"{folder}/{stem}.jsonl")
     if "csv" in formats:
-        write_csv(flat(ordered), f"{folder}/{stem}.csv")
+        write_csv_file(flat(ordered), f"{folder}/{stem}.csv")
     if "sqlite" in formats:
         write_sqlite(papers, f"{folder}/{stem}.db")
     if per_venue:

@@ -1,7 +1,8 @@
 """A rate-limited, cached HTTP source as a Python data source.
 
-One partition per edition or lookup batch; within a partition requests run one after the other. Bodies go through the
-cache folder, so a retried task asks again only for what is missing. Run it with speculation off.
+All requests of a source are one partition with one client, so they run one after the other, however many cores there
+are, and the pause that a throttling server asked for is kept from one edition to the next. Bodies go through the cache
+folder, so a retried task asks again only for what is missing. Run it with speculation off.
 """
 
 from __future__ import annotations
@@ -20,7 +21,9 @@ from collections.abc import Callable, Iterator
 
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+# Answers after which a request is tried again.
 RETRY_ON = {429, 500, 502, 503, 504}
+COUNTS = "requests int, cached int, retries int, failed int"
 
 
 class FetchError(Exception):
@@ -124,38 +127,60 @@ def _callable(name: str) -> Callable:
     return getattr(importlib.import_module(module), attribute)
 
 
-class Edition(InputPartition):
-    def __init__(self, query: str):
-        super().__init__(query)
+def client_of(o: dict) -> Client:
+    """The client that the options of a source describe."""
+    return Client(cache=o.get("cache"), delay=float(o.get("delay", 3.0)), longest=float(o.get("maxDelay", 20.0)), retries=int(o.get("retries", 6)),
+                  ttl_days=float(o["ttlDays"]) if "ttlDays" in o else None, refresh=o.get("refresh", "false").lower() == "true", timeout=float(o.get("timeout", 60.0)),
+                  agent=o.get("userAgent", "lectern"), opener=_callable(o["opener"]) if "opener" in o else open_url)
 
 
-class PagedReader(DataSourceReader):
-    """Pages of each query until the first page's total is reached or a page is empty; a failure keeps the pages before it."""
+class All(InputPartition):
+    """What one client has to ask for."""
+
+    def __init__(self, wanted: list):
+        super().__init__(wanted)
+
+
+class _Reader(DataSourceReader):
+    """One partition for all that is wanted; each row carries what its requests counted."""
+
+    option = "queries"
 
     def __init__(self, options: dict):
         self.options = options
 
     def partitions(self) -> list[InputPartition]:
-        return [Edition(q) for q in json.loads(self.options["queries"])]
+        return [All(json.loads(self.options[self.option]))]
+
+    def counted(self, client: Client) -> tuple[int, int, int, int]:
+        """What was counted since the last call."""
+        counts = tuple(client.counts[k] for k in ("requests", "cached", "retries", "failed"))
+        client.counts.clear()
+        return counts
 
     def read(self, partition: InputPartition) -> Iterator[tuple]:
-        o = self.options
-        client = Client(cache=o.get("cache"), delay=float(o.get("delay", 3.0)), longest=float(o.get("maxDelay", 20.0)), retries=int(o.get("retries", 6)),
-                        ttl_days=float(o["ttlDays"]) if "ttlDays" in o else None, refresh=o.get("refresh", "false").lower() == "true",
-                        agent=o.get("userAgent", "lectern"), opener=_callable(o["opener"]) if "opener" in o else open_url)
-        size, offset, total = int(o.get("pageSize", 100)), 0, None
+        client = client_of(self.options)
+        for wanted in partition.value:
+            yield from self.ask(client, wanted)
+
+
+class PagedReader(_Reader):
+    """Pages of each query until the first page's total is reached or a page is empty; a failure keeps the pages before it."""
+
+    def ask(self, client: Client, query: str) -> Iterator[tuple]:
+        size, offset, total = int(self.options.get("pageSize", 100)), 0, None
         while True:
-            params = {"q": partition.value, "h": size, "f": offset, "c": 0, "format": "json"}
+            params = {"q": query, "h": size, "f": offset, "c": 0, "format": "json"}
             try:
-                body = client.get(o["url"], params)
+                body = client.get(self.options["url"], params)
                 hits = json.loads(body)["result"]["hits"]
             except (FetchError, ValueError, KeyError) as e:
-                yield partition.value, offset, None, total, str(e)
+                yield query, offset, None, total, str(e), *self.counted(client)
                 return
             found = hits.get("hit", [])
             n = 1 if isinstance(found, dict) else len(found)
             total = int(hits.get("@total", 0)) if total is None else total
-            yield partition.value, offset, body, total, ""
+            yield query, offset, body, total, "", *self.counted(client)
             offset += n
             if not n or offset >= total:
                 return
@@ -169,7 +194,69 @@ class PagedSource(DataSource):
         return "lectern_pages"
 
     def schema(self) -> str:
-        return "query string, offset int, body string, total int, error string"
+        return f"query string, offset int, body string, total int, error string, {COUNTS}"
 
     def reader(self, schema) -> PagedReader:
         return PagedReader(dict(self.options))
+
+
+class UrlReader(_Reader):
+    option = "urls"
+
+    def ask(self, client: Client, url: str) -> Iterator[tuple]:
+        try:
+            yield url, client.get(url), "", *self.counted(client)
+        except FetchError as e:
+            yield url, None, str(e), *self.counted(client)
+
+
+class UrlSource(DataSource):
+    """``spark.read.format("lectern_urls")`` with ``urls`` (a JSON array): ``url, body, error``; index pages come so."""
+
+    @classmethod
+    def name(cls) -> str:
+        return "lectern_urls"
+
+    def schema(self) -> str:
+        return f"url string, body string, error string, {COUNTS}"
+
+    def reader(self, schema) -> UrlReader:
+        return UrlReader(dict(self.options))
+
+
+class LookupReader(_Reader):
+    """One request for each batch of values: they are put into one parameter, joined by a separator."""
+
+    option = "batches"
+
+    def ask(self, client: Client, batch: list[str]) -> Iterator[tuple]:
+        o = self.options
+        values = o.get("separator", "|").join(batch)
+        params = json.loads(o.get("params", "{}")) | {o["parameter"]: o.get("template", "{}").replace("{}", values)}
+        try:
+            yield batch, client.get(o["url"], params), "", *self.counted(client)
+        except FetchError as e:
+            yield batch, None, str(e), *self.counted(client)
+
+
+class LookupSource(DataSource):
+    """``spark.read.format("lectern_lookup")``: ``items, body, error`` for each batch.
+
+    Options: ``url``, ``batches`` (a JSON array of arrays), ``parameter`` that takes the values, ``template`` around them,
+    ``separator`` between them, ``params`` (a JSON object) sent with every request, and those of the client.
+    """
+
+    @classmethod
+    def name(cls) -> str:
+        return "lectern_lookup"
+
+    def schema(self) -> str:
+        return f"items array<string>, body string, error string, {COUNTS}"
+
+    def reader(self, schema) -> LookupReader:
+        return LookupReader(dict(self.options))
+
+
+def register(spark) -> None:
+    for source in (PagedSource, UrlSource, LookupSource):
+        spark.dataSource.register(source)

@@ -97,8 +97,9 @@ def test_longer_preprints_replace_texts(spark, tmp_path):
 
 
 def test_unknown_dimension_key_is_an_error(spark):
-    with pytest.raises(ValueError):
-        joins.with_dimension(table(spark, paper(1)), spark.createDataFrame([("w",)], "venue string"), "venue")
+    joined = joins.with_dimension(table(spark, paper(1)), spark.createDataFrame([("w", 1)], "venue string, ord int"), "venue")
+    with pytest.raises(Exception, match="unknown venue: v"):
+        joined.select("dblp_key", "ord").collect()
 
 
 def test_report_of_nothing_and_of_little(spark):
@@ -221,3 +222,78 @@ def test_rules_are_data(spark):
     own = [("ring", "", "", r"\bring")]
     assert [r.topic for r in joins.rule_matches(table(spark, paper(1, title="Ringing")), "title", own).collect()] == ["ring"]
     assert dims.topic_ids(own) == ["ring", "other"]
+
+
+def test_lookups_go_on_where_they_stopped(spark, tmp_path):
+    """Answers are kept batch by batch; a second run asks for what is missing only."""
+    given = {"opener": "lectern.sources.offline:lookup", "delay": 0}
+    want = lambda n: spark.createDataFrame([(f"10.12/{i:04d}",) for i in range(n)], "doi string")
+    from lectern.sources import lookup
+
+    first = lookup.fetch(spark, want(120), "doi", "doi", "https://w.example", str(tmp_path / "a"), given, group=1)
+    assert first.count() == 3 and lookup.counters(first).first().requests == 3
+    again = lookup.fetch(spark, want(170), "doi", "doi", "https://w.example", str(tmp_path / "a"), given)
+    assert again.count() == 4 and lookup.works_of(again).select("doi").distinct().count() == 170
+    assert lookup.fetch(spark, want(0), "doi", "doi", "https://w.example", str(tmp_path / "b"), given).count() == 0
+
+
+def slow_open(url, timeout, agent):
+    import time
+
+    with open(url.split("#")[0].removeprefix("http://"), "a") as f:
+        f.write(f"{time.monotonic()}\n")
+    return 200, {}, b"{}"
+
+
+def test_one_client_keeps_the_pause(spark, tmp_path):
+    """However many cores there are, no two requests of a source lie within its delay."""
+    http.register(spark)
+    urls = json.dumps([f"http://{tmp_path}/log#{i}" for i in range(6)])
+    spark.read.format("lectern_urls").options(urls=urls, delay="0.2", opener="tests.test_operators:slow_open").load().collect()
+    at = [float(x) for x in (tmp_path / "log").read_text().split()]
+    assert len(at) == 6 and min(b - a for a, b in zip(at, at[1:], strict=False)) >= 0.19
+
+
+def test_gzip_and_charset(spark):
+    import gzip
+
+    client = http.Client(delay=0, opener=lambda *a: (200, {"Content-Encoding": "gzip", "Content-Type": "text/html; charset=latin-1"}, gzip.compress("é".encode("latin-1"))))
+    assert client.get("http://x") == "é"
+
+
+def test_the_last_line_wins_over_several_files(spark, tmp_path):
+    """A small old file and a larger new one, which is read first."""
+    (tmp_path / "k").mkdir()
+    (tmp_path / "k" / "part-0.json").write_text('{"dblp_key":"a","abstract":"old"}\n\n{"dblp_key":"b","abstract":"b"}\n')
+    (tmp_path / "k" / "part-1.json").write_text("".join(f'{{"dblp_key":"a","abstract":"new {i}"}}\n' for i in range(5000)))
+    got = {r.dblp_key: r.abstract for r in files.read_jsonl_keyed(spark, str(tmp_path / "k")).collect()}
+    assert got == {"a": "new 4999", "b": "b"}
+
+
+def test_a_later_work_without_text_leaves_the_earlier_one(spark):
+    works = spark.createDataFrame([(1, "10.1/a", "text", None), (2, "https://doi.org/10.1/A", None, "2301.00001"), (3, "10.1/a", None, None)], "work_id bigint, doi string, t string, a string")
+    got = joins.texts_by_doi(table(spark, paper(1, doi="10.1/A"), paper(2, key="l", doi="10.1/a")), works, F.col("t"), F.col("a")).collect()
+    assert [tuple(r) for r in got] == [("l", "text", "2301.00001")]
+
+
+@pytest.mark.skipif(not Path(SMALL).exists(), reason="test tables are not here")
+def test_last_wins_reads_what_is_used(spark):
+    plan = catalogue.count_by_venue_year(spark, SMALL)._jdf.queryExecution().executedPlan().toString()
+    read = plan.split("ReadSchema: ")[1].split("\n")[0]
+    assert sorted(c.split(":")[0] for c in read.removeprefix("struct<").rstrip(">").split(",")) == ["dblp_key", "row_idx", "venue", "year"]
+    assert "Sort" not in plan
+
+
+def test_a_cluster_needs_a_shared_folder(spark, monkeypatch):
+    from lectern import session
+
+    class Cluster:
+        class conf:
+            get = staticmethod(lambda *a: None)
+
+        class sparkContext:
+            master = "spark://host:7077"
+            getConf = staticmethod(lambda: {})
+
+    with pytest.raises(ValueError, match="checkpoint"):
+        session.scratch_dir(Cluster)
