@@ -1,10 +1,13 @@
 """Template residue, filler, error pages and demands for scripts inside texts.
 
-Labelled exemplars of such leftovers are tokenised; placeholders of every template language become one shape token
-each. An inverted index leads from an exemplar's rarest terms to the exemplar. A text is read once: its tokens
-retrieve exemplars, and for each one retrieved the passage window with the largest TF-IDF containment of the
-exemplar is found. A text with a window at or above the exemplar's bound is residue. Document frequencies are counted over
-all texts; only those of the exemplars' own terms (a fixed list) reach the driver.
+Labelled exemplars of such leftovers, a table of ``family, label, text``, are tokenised. Tokens are words, and classes of
+words: a placeholder of any template language is a token of its delimiters and one for the name within; words that mean
+the same in notices of several languages are one token; so are words of the passage long used as filler, keys struck
+at random, runs of one letter, and words that only repeat the ones before. An inverted index leads from an
+exemplar's rarest terms to the exemplar. A text is read once: its tokens retrieve exemplars, and for each one retrieved
+the passage window with the largest TF-IDF containment of the exemplar is found. A text with a window at or above the
+exemplar's bound is residue; there is no other way to become it. Document frequencies are counted over all texts; only
+those of the exemplars' own terms (at most ``ROWS`` exemplars) reach the driver.
 
 Defined results: NULL and blank texts are never residue and have a NULL score; repeated rows get equal scores; long
 texts are read whole; an empty table gives no rows; extra columns stay as they are, but one named ``residue`` is replaced.
@@ -21,75 +24,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Labelled exemplars. A trailing "| kind" gives the label.
-EXEMPLARS = """
-please enable javascript to view this page | scripts
-please enable javascript to see the references | scripts
-please enable javascript in your browser and reload | scripts
-you need to enable javascript to run this app | scripts
-you need to allow cookies and javascript in order to read the abstract on | scripts
-javascript is disabled in your browser some features of will not work | scripts
-javascript is required to use this site | scripts
-does not work properly without javascript enabled | scripts
-we are sorry but does not work properly without javascript | scripts
-this site requires scripts turn them on in the settings of your browser and reload | scripts
-your browser does not support scripting or scripting has been switched off | scripts
-you are using an outdated browser scripts are needed to display this content | scripts
-this application needs scripting to run | scripts
-veuillez activer javascript dans votre navigateur pour afficher cette page | scripts
-bitte aktivieren sie javascript um den inhalt dieser seite anzuzeigen | scripts
-habilite javascript en su navegador para poder leer el resumen | scripts
-请启用 javascript 后重新加载本页面 以便查看摘要内容 | scripts
-如果问题仍然存在 请联系管理员处理 | error
-checking your browser before you are sent to this takes up to five seconds | scripts
-you must have scripts turned on to use all features of this page | scripts
-please complete the captcha to prove that you are human | scripts
-the page you are looking for may have been moved or deleted | error
-404 not found the requested record could not be located on this server | error
-error 404 we cannot find the page that you asked for | error
-sorry this record does not exist or is no longer available at this address | error
-page introuvable le document n'existe pas ou a été déplacé | error
-seite nicht gefunden der datensatz ist nicht vorhanden | error
-access denied your request was blocked by the security rules of | error
-you do not have permission to view this content please sign in with your institution | error
-forbidden no access from your network code | error
-something went wrong on our end code | error
-the resource is gone code | error
-your session has expired log in again to continue | error
-too many requests were sent from your address slow down and retry later | error
-503 service temporarily unavailable down for maintenance ticket | error
-502 bad gateway edge node try again in a few minutes | error
-504 gateway time-out no reply from upstream | error
-http status 500 internal server error the server met an unexpected condition | error
-an unexpected error has occurred please contact the administrator and quote | error
-internal error 0x0 please reload the page | error
-error loading metadata timeout after ms | error
-error the record could not be loaded completely | error
-java lang nullpointerexception at render java while reading | error
-traceback most recent call last file line in render keyerror | error
-warning undefined array key in php on line | error
-sqlstate column not found statement field | error
-the connection to the database failed | error
-undefined undefined undefined undefined pp nan-nan | template
-null null null null null null | template
-abstract text goes here | template
-your abstract will appear in this place | template
-type or paste your abstract into this box | template
-insert abstract of at most words | template
-this is sample text for the summary field | template
-todo write the abstract | template
-text to come | template
-text to come batch | template
-title by author in proceedings publisher city year | template
-see the source sheet for the summary | template
-placeholder for the summary of item to be supplied by the authors | template
-dummy record used for testing the import please ignore | template
-this field is filled automatically replace it before release | template
-foo bar foo bar foo bar | filler
-lorem ipsum dolor sit amet consectetur adipiscing elit | filler
-asdf asdf qwer asdf asdf qwer | filler
-abc abc abc abc abc abc | filler
-"""
+from lectern.llm import exemplars
+
 # The passage long used as filler text; its words are no English.
 LOREM = """lorem ipsum dolor sit amet consectetur adipiscing elit sed eiusmod tempor incididunt ut labore et dolore
 magna aliqua aliquam enim minim veniam quis nostrud exercitation ullamco laboris nisi aliquip ea commodo consequat duis
@@ -115,16 +51,28 @@ SHAPES = {
     "slot": r"(?<![\w\\^_}$])\{[A-Za-z]{4,}(?:[_.][A-Za-z_.]+)?\}(?!\$)",
     "markup": r"<(?:noscript|script|h[1-6]|div|body|html|iframe|form)\b[^>]*>|<p \w+=[^>]*>",
 }
-SURE = tuple(n for n in SHAPES if n != "markup")
+# Words of notices that mean the same, by language.
+CONCEPTS = {
+    "⟦enable⟧": "enable enables enabled activate activated activez activer aktivieren habilite habilitar activar active attiva attivare abilita abilitare ative ativar schakel włącz einschalten",
+    "⟦off⟧": "disabled deaktiviert désactivé desactivado disattivato deactivated desativado uitgeschakeld",
+    "⟦scripts⟧": "javascript scripting",
+    "⟦browser⟧": "browser browsers browsers' navigateur navegador przeglądarce",
+    "⟦please⟧": "please veuillez bitte favore",
+    "⟦page⟧": "page site website seite pagina página stronę",
+    "⟦require⟧": "require requires required requiere benötigt nécessite richiede needs",
+}
 _SHAPE = re.compile("|".join(f"(?P<{n}>{p})" for n, p in SHAPES.items()))
 _OPENING = re.compile(r"[{<%$\[@#_]+")
 _WORD = re.compile(r"[^\W\d_]+(?:['’\-][^\W\d_]+)*|\d+|⟦\w+⟧")
 _CJK = re.compile(r"[぀-ヿ㐀-䶿一-鿿가-힣]")
 _HOME_ROW = re.compile(r"[asdfghjkl]{4,}\Z")
 _HOME_WORDS = frozenset("flash glass glad shall half hall fall falls flag flags dash gall flask salad ash hash alas".split())
+ROWS = 1_000
 BOUND = {"scripts": 0.68, "error": 0.68, "template": 0.75, "filler": 0.75}
-#: Of so many neighbouring words this share must be words of the filler passage; so many equal words in a row are an echo.
-LOREM_SHARE, LOREM_WINDOW, ECHO = 0.16, 12, 5
+#: Words a window of a filler exemplar spans; so many equal words in a row are an echo.
+FILLER_WINDOW, ECHO = 12, 5
+_CONCEPT = {w: c for c, words in CONCEPTS.items() for w in words.split()}
+_LATIN = frozenset(LOREM.split()) - {"sit", "ea", "et", "ut", "sed", "est", "sint", "labore", "quis"}
 
 
 def _marked(text: str) -> str:
@@ -133,7 +81,7 @@ def _marked(text: str) -> str:
     for opening in _OPENING.finditer(text):
         for i in range(max(at, opening.start()), opening.end()):
             if m := _SHAPE.match(text, i):
-                parts += [text[at:i], f" ⟦{m.lastgroup}⟧ "]
+                parts += [text[at:i], f" ⟦{m.lastgroup}⟧ ⟦name⟧ "]
                 at = m.end()
                 break
     return "".join([*parts, text[at:]]) if parts else text
@@ -146,6 +94,10 @@ def _word_tokens(w: str) -> tuple[str, ...]:
         return ("0",)
     if _CJK.match(w):
         return tuple(w)
+    if w in _CONCEPT:
+        return (_CONCEPT[w],)
+    if w in _LATIN:
+        return ("⟦latin⟧",)
     if _HOME_ROW.match(w) and w not in _HOME_WORDS and not w.startswith("asdf"):
         return ("⟦mash⟧",)
     return ("⟦xs⟧",) if len(w) >= 3 and set(w) == {"x"} else (w,)
@@ -164,43 +116,43 @@ def tokens_of(text: str) -> list[str]:
         if tokens is None:
             tokens = _seen[w] = _word_tokens(w)
         out += tokens
+    repeated = set()
     for period in (1, 2, 3):
         if sum(map(eq, out, out[period:])) < (ECHO - 1) * period:
             continue
         run = 0
         for i in range(period, len(out)):
-            run = run + 1 if out[i] == out[i - period] and len(out[i]) > 2 else 0
+            run = run + 1 if out[i] == out[i - period] and len(out[i]) > 2 and out[i][0] != "⟦" else 0
             if run >= (ECHO - 1) * period:
-                out[i] = "⟦echo⟧"
-                return out
+                repeated.update(range(i - run - period + 1, i + 1))
+    for i in repeated:
+        out[i] = "⟦echo⟧"
     return out
 
 
-def exemplar_list() -> list[tuple[str, str, list[str]]]:
-    """``(label, text, tokens)`` of every exemplar, shapes included."""
-    out = []
-    for line in EXEMPLARS.strip().splitlines():
-        text, _, kind = line.rpartition("|")
-        out.append((kind.strip(), text.strip(), tokens_of(text)))
-    out += [("template", f"⟦{n}⟧", [f"⟦{n}⟧"]) for n in SURE]
-    out += [("filler", "mash", ["⟦mash⟧"] * 4), ("filler", "xs", ["⟦xs⟧"] * 4), ("filler", "echo", ["⟦echo⟧"])]
-    return out
+def default_exemplars() -> list[tuple[str, str, str]]:
+    return exemplars.rows()
 
 
 class ResidueIndex:
     """Inverted index over the exemplars: anchor term -> exemplars, with the weight of each exemplar's terms."""
 
-    def __init__(self, frequency: dict[str, int], n_texts: int):
+    def __init__(self, given: list[tuple[str, str, str]], frequency: dict[str, int], n_texts: int):
         self.top = math.log1p(max(n_texts, 1)) + 1.0
+        frequency = frequency | {c: min(n_texts, sum(frequency.get(w, 0) for w in words.split())) for c, words in CONCEPTS.items()}
         weight = {t: math.log((n_texts + 1) / (f + 1)) + 1.0 for t, f in frequency.items()}
+        weight["0"] = 1.0  # any number
         self.items = []
         self.anchors: dict[str, list[int]] = defaultdict(list)
-        for kind, text, tokens in exemplar_list():
+        for _, kind, text in given:
+            tokens = tokens_of(text)
             need = Counter(tokens)
-            w = {t: (self.top if t[0] == "⟦" else weight.get(t, self.top)) for t in need}
+            w = {t: weight.get(t, self.top) for t in need}
             total = sum(w[t] * n for t, n in need.items())
             k = len(self.items)
-            self.items.append((kind, text, need, w, total, int(len(tokens) * 1.5) + 3))
+            if not tokens:
+                continue
+            self.items.append((kind, text, need, w, total, FILLER_WINDOW if kind == "filler" else int(len(tokens) * 1.5) + 3))
             # the rarest terms; a window that holds none of them stays below the bound
             left = total
             for t in sorted(need, key=lambda t: -w[t] * need[t]):
@@ -208,7 +160,6 @@ class ResidueIndex:
                     break
                 self.anchors[t].append(k)
                 left -= w[t] * need[t]
-        self.lorem = frozenset(LOREM.split()) - {"sit", "ea", "et", "ut", "sed", "est", "sint", "labore", "quis"}
 
     def score(self, text: str) -> tuple[float, str, str]:
         """The best containment over the exemplar's bound, with label and exemplar: residue at 1 or more, else perhaps 0."""
@@ -239,20 +190,21 @@ class ResidueIndex:
             got = peak / total / BOUND[kind]
             if got > best[0]:
                 best = (got, kind, name)
-        hits = [t in self.lorem for t in tokens]
-        if sum(hits) >= 2 and best[0] < 1.0:
-            for i in range(max(1, len(hits) - LOREM_WINDOW + 1)):
-                part = hits[i : i + LOREM_WINDOW]
-                share = sum(part) / max(len(part), LOREM_WINDOW) / LOREM_SHARE
-                if share > best[0]:
-                    best = (share, "filler", "lorem")
         return best
 
 
-def fit_residue_index(texts: DataFrame, text: str) -> ResidueIndex:
-    """Document frequencies over all texts, kept for the exemplars' own words only (a list fixed in this module)."""
-    words = sorted({t for _, _, tokens in exemplar_list() for t in tokens if t.isascii() and t.isalpha()})
-    found = F.array_intersect(F.split(F.lower(F.col(text)), "[^a-z]+"), F.array(*[F.lit(w) for w in words]))
+def fit_residue_index(texts: DataFrame, text: str, given: DataFrame | None = None) -> ResidueIndex:
+    """The index over the exemplars ``given``, a table ``family, label, text``, with document frequencies over all texts.
+
+    Labels are those of ``BOUND``. Frequencies are kept for the exemplars' own words only.
+    """
+    chosen = default_exemplars() if given is None else [tuple(r) for r in given.select("family", "label", "text").limit(ROWS + 1).collect()]
+    if len(chosen) > ROWS:
+        raise ValueError(f"more than {ROWS} exemplars")
+    if unknown := {k for _, k, _ in chosen} - set(BOUND):
+        raise ValueError(f"unknown labels: {sorted(unknown)}")
+    words = sorted({t for t in {*_CONCEPT, *(t for _, _, e in chosen for t in tokens_of(e))} if t.isascii() and t.isalpha()})
+    found = F.array_intersect(F.split(F.lower(F.col(text)), "[^a-z]+"), F.array(*[F.lit(w) for w in words]).cast("array<string>"))
     rows = (
         texts.where(F.col(text).isNotNull())
         .select(F.explode(F.array_append(found, F.lit(""))).alias("term"))
@@ -261,7 +213,7 @@ def fit_residue_index(texts: DataFrame, text: str) -> ResidueIndex:
         .collect()
     )
     counts = {r.term: r.n for r in rows}
-    return ResidueIndex({w: counts.get(w, 0) for w in words}, counts.get("", 0))
+    return ResidueIndex(chosen, {w: counts.get(w, 0) for w in words}, counts.get("", 0))
 
 
 def residue_score(text: Column | str, index: ResidueIndex) -> Column:

@@ -200,6 +200,27 @@ def test_residue(spark):
     assert residue.residue_rows(df.limit(0), "text", residue.fit_residue_index(df.limit(0), "text")).count() == 0
 
 
+def test_exemplars_are_a_table(spark):
+    """Other exemplars find other texts; wrong labels and too many rows are errors; no exemplars find nothing."""
+    df = spark.createDataFrame([(0, "The kettle is on strike, call the porter"), (1, "Please enable JavaScript to view this page."), (2, "Words {{ name }} words")], "id int, text string")
+    schema = "family string, label string, text string"
+    own = lambda *rows: residue.fit_residue_index(df, "text", spark.createDataFrame(list(rows), schema))
+    ids = lambda index: {r.id for r in residue.residue_rows(df, "text", index).collect()}
+    assert ids(own(("k", "error", "kettle on strike"))) == {0} and ids(own(("k", "template", "{{ title }}"))) == {2} and ids(own()) == set()
+    with pytest.raises(ValueError):
+        own(("k", "nonsense", "x"))
+
+
+def test_notices_in_other_words(spark):
+    """Notices that are worded as no exemplar is, in several languages, and earnest sentences of the same words."""
+    index = residue.fit_residue_index(spark.createDataFrame([("A plain abstract of graphs on a page of a site.",)] * 20, "text string"), "text")
+    for t in ("Vous devez activer JavaScript pour lire ce résumé.", "JavaScript ist in Ihrem Browser deaktiviert.", "Abilitare JavaScript nelle impostazioni del browser per proseguire.",
+              "For full functionality of this site it is necessary to enable JavaScript.", "Error 503: the service is unavailable. Please try again later.", "See {{link}}.", "Dear ${user.name}", "lorem ipsum amet dolor"):
+        assert index.score(t)[0] >= 1, t
+    for t in ("We study scripts that a browser may require.", "A server that is temporarily slow answers 404 requests later.", "Keywords: radio networks, radio networks, radio networks", "sets {x_i : i < k} and log log log n"):
+        assert index.score(t)[0] < 1, t
+
+
 # --- 5 matching -----------------------------------------------------------------------------------------------------
 
 
