@@ -30,19 +30,20 @@ def terms_of(text: Column, pattern: str = TERM) -> Column:
 def term_counts(records: DataFrame, text: Column) -> DataFrame:
     """``term, occurrences, records``: one row per distinct term.
 
-    Each record's terms are sorted in place, so a term's first copy is the one that differs from the copy before;
-    both counts then come from one aggregation, which sums in each task before anything is shuffled. A term that
-    holds a third of all rows therefore sends one row per task.
+    Each record's terms are sorted in place and counted by runs, so a record emits a term once with its count. Both
+    sums then come from one hash aggregate, which combines in each task before anything is shuffled: a term that holds a
+    third of all rows sends one row per task.
     """
-    ordered = records.select(F.array_sort(terms_of(text)).alias("_terms"))
-    marked = F.transform(
-        "_terms",
-        lambda t, i: F.struct(t.alias("term"), F.when((i > 0) & (F.get("_terms", i - 1) == t), 0).otherwise(1).alias("first")),
+    ordered = records.select(F.array_sort(terms_of(text)).alias("_terms")).where(F.size("_terms") > 0)
+    new = lambda i: (i == 0) | (F.get("_terms", i - 1) != F.get("_terms", i))
+    runs = ordered.select("_terms", F.filter(F.sequence(F.lit(0), F.size("_terms") - 1), new).alias("_starts"))
+    emitted = F.transform(
+        "_starts", lambda i, k: F.struct(F.get("_terms", i).alias("term"), (F.coalesce(F.get("_starts", k + 1), F.size("_terms")) - i).alias("n"))
     )
     return (
-        ordered.select(F.explode(marked).alias("_t"))
+        runs.select(F.explode(emitted).alias("_t"))
         .groupBy(F.col("_t.term").alias("term"))
-        .agg(F.count("*").alias("occurrences"), F.sum("_t.first").cast("bigint").alias("records"))
+        .agg(F.sum("_t.n").cast("bigint").alias("occurrences"), F.count("*").alias("records"))
     )
 
 
