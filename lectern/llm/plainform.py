@@ -3,7 +3,9 @@
 Three steps per value: characters that show nothing are deleted and compatibility forms (wide letters, ligatures,
 odd spaces) replaced; what is left is composed; then each word is read as a lattice whose columns hold a
 character and the letters of other scripts it looks like, and Viterbi picks the reading that stays in one script
-and has the best letter-pair scores. The letter-pair scores are counted over the whole columns.
+and has the best letter-pair scores. The letter-pair scores are counted over the whole columns. Bound: look-alikes are those
+of ``LOOK_ALIKES`` and of compatibility forms; a word that holds a letter of any other script is kept as it is, and
+digits are not taken for letters.
 
 Plain and therefore kept: composed accents, whole words and names in another script, mathematical symbols, raised
 digits, long dashes and typographic quotes.
@@ -33,7 +35,10 @@ LOOK_ALIKES = {
     " ΑA ΒB ΕE ΖZ ΗH ΙI ΚK ΜM ΝN ΟO ΡP ΤT ΥY ΧX ϹC ϺM ͿJ",
     "armenian": "օo սu հh ոn ցg զq ՕO ՍU ԼL ՏS",
     "cherokee": "ᎪA ᏴB ᏟC ᎠD ᎬE ᏀG ᎻH ᎥI ᎫJ ᏦK ᏞL ᎷM ᏢP ᎡR ᏚS ᎢT ᏙV ᎳW ᏃZ",
-    "latin": "ɑa ɡg",
+    "coptic": "ⲟo ⲣp ⲥc ⲭx ⲩy ⲕk ⲁa ⲓi ⲞO ⲢP ⲤC ⲬX ⲨY ⲔK ⲦT ⲘM ⲚN ⲎH ⲒI ⲂB",
+    "lisu": "ꓮA ꓐB ꓚC ꓓD ꓰE ꓝF ꓖG ꓧH ꓲI ꓙJ ꓗK ꓡL ꓟM ꓠN ꓳO ꓑP ꓣR ꓢS ꓔT ꓴU ꓦV ꓪW ꓫX ꓬY ꓜZ",
+    "georgian": "ჿo",
+    "latin": "ɑa ɡg ᴀa ʙb ᴄc ᴅd ᴇe ɢg ʜh ɪi ᴊj ᴋk ʟl ᴍm ɴn ᴏo ᴘp ʀr ꜱs ᴛt ᴜu ᴠv ᴡw ʏy ᴢz ꜰf",
 }
 # Marks that look like a plain mark, and spaces.
 MARKS = {"‐": "-", "‑": "-", "˗": "-", "꞉": ":", "ː": ":", "․": ".", " ": " ", " ": " "}
@@ -42,11 +47,14 @@ UNSEEN = "͏ᅟᅠ឴឵᠋᠌᠍᠎᠏ㅤﾠ⠀"
 # Decomposition tags that leave the look unchanged; raised and lowered digits and fractions are plain.
 SAME_LOOK = ("<wide>", "<narrow>", "<small>", "<noBreak>", "<compat>", "<font>", "<initial>", "<medial>", "<final>", "<isolated>")
 SCRIPTS = {
-    "latin": [(0x41, 0x5A), (0x61, 0x7A), (0xC0, 0x24F), (0x250, 0x2AF), (0x1E00, 0x1EFF)],
+    "latin": [(0x41, 0x5A), (0x61, 0x7A), (0xC0, 0x24F), (0x250, 0x2AF), (0x1D00, 0x1D2B), (0x1E00, 0x1EFF), (0xA730, 0xA731)],
     "greek": [(0x370, 0x3FF), (0x1F00, 0x1FFF)],
     "cyrillic": [(0x400, 0x52F)],
     "armenian": [(0x530, 0x58F)],
     "cherokee": [(0x13A0, 0x13FF)],
+    "coptic": [(0x2C80, 0x2CFF)],
+    "lisu": [(0xA4D0, 0xA4FF)],
+    "georgian": [(0x10A0, 0x10FF)],
 }
 PLAIN_ASCII = r"\A[\x09\x0a\x0d\x20-\x7e]*\z"
 SWITCH, CHANGE, FOREIGN = 9.0, 0.4, 2.5
@@ -87,6 +95,8 @@ def script_of(c: str) -> str:
 
 
 _TO_LATIN = {p[0]: p[1] for pairs in LOOK_ALIKES.values() for p in pairs.split()}
+#: Letters of the Latin script that stand for plain ones.
+_ODD_LATIN = frozenset(p[0] for p in LOOK_ALIKES["latin"].split())
 _FROM_LATIN: dict[str, list[str]] = {}
 for _script in ("cyrillic", "greek", "armenian"):
     for _p in LOOK_ALIKES[_script].split():
@@ -104,7 +114,7 @@ def _letter_table() -> tuple[np.ndarray, list[tuple[str, str]]]:
         for a, b in spans:
             for code in range(a, b + 1):
                 c = chr(code)
-                if not c.isalpha():
+                if not c.isalpha() or code >= len(out):
                     continue
                 base = unicodedata.normalize("NFD", c)[0].lower()
                 key = (script, base[:1])
@@ -193,7 +203,7 @@ def plain_text(value: str, scores: np.ndarray) -> str:
     text = "".join(map(_one, value))
     text = unicodedata.normalize("NFC", text)
     scripts = [script_of(c) for c in text]
-    if not any(s not in ("", "latin", "other") or c in "ɑɡ" for s, c in zip(scripts, text, strict=True)):
+    if not any(s not in ("", "latin", "other") or c in _ODD_LATIN for s, c in zip(scripts, text, strict=True)):
         return text
     words, start = [], None
     for i, s in enumerate([*scripts, ""]):
@@ -216,7 +226,7 @@ def plain_text(value: str, scores: np.ndarray) -> str:
         out.append(text[at:a])
         at = b
         lone_symbol = b - a == 1 and own == {"greek"} and word.islower()
-        if own <= {"latin"} and share["latin"] > 0.3 and not any(c in "ɑɡ" for c in word) or "other" in own or lone_symbol:
+        if own <= {"latin"} and share["latin"] > 0.3 and not any(c in _ODD_LATIN for c in word) or "other" in own or lone_symbol:
             out.append(word)
         else:
             out.append(_read(word, share, scores))

@@ -50,6 +50,7 @@ PLAIN = ["Near-linear graphs in O(n²) Steps", "π-Anna Šolpi", "Мария И
 ODD = {
     "Ｇｒａｐｈｓ　ａｎｄ": "Graphs and", "grаphs of cоde": "graphs of code", "Αn approaϲh": "An approach", "zero\u200bwidth\u00ad \ufeffhere": "zerowidth here",
     "no\u00a0break\u2007space": "no break space", "of\ufb02ine": "offline", "Hiri\u0308lm": "Hirïlm", "word‐level": "word-level", "\u200b": "", "Соре Rule of graphs": "Cope Rule of graphs",
+    "Grⲟups of codes": "Groups of codes", "ꓖraphs and codes": "Graphs and codes", "ɪndex of graphs": "index of graphs", "a cჿde": "a code",
 }
 
 
