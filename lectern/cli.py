@@ -40,6 +40,7 @@ def parser() -> argparse.ArgumentParser:
     c.add_argument("--no-cache", action="store_true")
     c.add_argument("-q", "--quiet", action="store_true")
     c.add_argument("--debug", action="store_true")
+    c.add_argument("--opener", help="module:function that answers instead of the network")
     c.add_argument("--cache-ttl-days", type=float)
     c.add_argument("--refresh", action="store_true")
     c.add_argument("--include-editorship", action="store_true")
@@ -52,6 +53,7 @@ def parser() -> argparse.ArgumentParser:
     e.add_argument("--arxiv-url", help="where preprints are looked up")
     e.add_argument("--answers", help="folder that keeps the answers, so that a run can go on later")
     e.add_argument("--mailto", default="")
+    e.add_argument("--opener", help="module:function that answers instead of the network")
     e.add_argument("--title-delay", type=float, default=1.0)
     e.add_argument("--cache-dir")
     e.add_argument("--no-cache", action="store_true")
@@ -84,7 +86,7 @@ def run_crawl(spark: SparkSession, a: argparse.Namespace) -> int:
         print(unknown, file=sys.stderr)
         return 2
     cache = {} if a.no_cache else {k: v for k, v in (("cache", a.cache_dir), ("ttlDays", a.cache_ttl_days)) if v is not None}
-    client = {"delay": a.delay, "maxDelay": a.max_delay, "retries": a.max_retries, "userAgent": a.user_agent, "timeout": a.timeout, "refresh": a.refresh} | cache
+    client = {"delay": a.delay, "maxDelay": a.max_delay, "retries": a.max_retries, "userAgent": a.user_agent, "timeout": a.timeout, "refresh": a.refresh} | cache | ({"opener": a.opener} if a.opener else {})
     http.register(spark)
     if a.debug:
         spark.sparkContext.setLogLevel("DEBUG")
@@ -115,7 +117,7 @@ def run_crawl(spark: SparkSession, a: argparse.Namespace) -> int:
 
 def run_enrich(spark: SparkSession, a: argparse.Namespace) -> int:
     papers = spark.read.parquet(a.papers)
-    cache = {"cache": a.cache_dir} if a.cache_dir and not a.no_cache else {}
+    cache = ({"cache": a.cache_dir} if a.cache_dir and not a.no_cache else {}) | ({"opener": a.opener} if a.opener else {})
     if a.works:
         works = spark.read.parquet(a.works)
     elif a.url and a.answers:

@@ -297,3 +297,31 @@ def test_a_cluster_needs_a_shared_folder(spark, monkeypatch):
 
     with pytest.raises(ValueError, match="checkpoint"):
         session.scratch_dir(Cluster)
+
+
+def test_command_line_from_index_to_publication(spark, tmp_path, capsys):
+    from lectern import cli
+
+    d = str(tmp_path)
+    venues = "ord int, slug string, name string, dblp_dir string, toc_prefix string, first_year int, note string"
+    spark.createDataFrame([(0, "v", "Venue", "conf/v", "v", 1990, None), (1, "w", "Other", "conf/w", "w", 1991, "late")], venues).write.parquet(f"{d}/venues")
+    run = lambda *args: cli.main(list(args), spark)
+    crawl_args = ["crawl", "--venues-table", f"{d}/venues", "--index-url", "http://i/{}", "--url", "http://s/api", "--opener", "lectern.sources.offline:index", "--delay", "0", "-o", f"{d}/out"]
+    assert run(*crawl_args, "--formats", "jsonl", "csv", "sqlite", "--per-venue", "--since", "2000", "--cache-dir", f"{d}/cache") == 0
+    said = capsys.readouterr()
+    assert "TOTAL\t6" in said.out and "requests=2" in said.err
+    raw = Path(f"{d}/out/papers.csv").read_bytes()
+    assert raw.startswith(b"\xef\xbb\xbfvenue,year,title") and raw.count(b"\r\n") == 7
+    assert run(*crawl_args, "-v", "nowhere") == 2 and run(*crawl_args, "--list-venues") == 0
+    assert "w\tOther\t1991\tlate" in capsys.readouterr().out
+    papers = files.read_jsonl(spark, f"{d}/out/papers.jsonl").withColumn("doi", F.concat(F.lit("10.12/"), F.length("dblp_key").cast("string"), F.right("dblp_key", F.lit(1))))
+    papers.withColumn("row_idx", F.monotonically_increasing_id()).write.parquet(f"{d}/papers")
+    enrich_args = ["enrich", "--papers", f"{d}/papers", "-o", f"{d}/abstracts"]
+    assert run(*enrich_args) == 2
+    assert run(*enrich_args, "--url", "http://w/api", "--answers", f"{d}/answers", "--opener", "lectern.sources.offline:lookup", "--title-delay", "0", "--mailto", "a@b.example") == 0
+    assert Path(f"{d}/abstracts").exists()  # the made-up texts are too short to be kept
+    assert run("analyze", "--papers", f"{d}/papers", "--venues-table", f"{d}/venues", "-o", f"{d}/report.json") == 0
+    assert json.loads(Path(f"{d}/report.json").read_text())["meta"]["total"] == 6
+    Path(f"{d}/page.html").write_text("<script>__SITE_DATA__</script>")
+    args = ["publish", "--report", f"{d}/report.json", "--template", f"{d}/page.html", "--papers", f"{d}/papers", "--venues-table", f"{d}/venues", "--abstracts", f"{d}/none", "-o", f"{d}/index.html", "--shards", f"{d}/shards"]
+    assert run(*args) == 0 and '"total":6' in Path(f"{d}/index.html").read_text() and Path(f"{d}/shards").exists()
