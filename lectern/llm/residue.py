@@ -204,7 +204,8 @@ def fit_residue_index(texts: DataFrame, text: str, given: DataFrame | None = Non
     if unknown := {k for _, k, _ in chosen} - set(BOUND):
         raise ValueError(f"unknown labels: {sorted(unknown)}")
     words = sorted({t for t in {*_CONCEPT, *(t for _, _, e in chosen for t in tokens_of(e))} if t.isascii() and t.isalpha()})
-    found = F.array_intersect(F.split(F.lower(F.col(text)), "[^a-z]+"), F.array(*[F.lit(w) for w in words]).cast("array<string>"))
+    # a set of constants is looked up word by word; an intersection of arrays would build its set anew for each text
+    found = F.array_distinct(F.filter(F.split(F.lower(F.col(text)), "[^a-z]+"), lambda w: w.isin(*words)))
     rows = (
         texts.where(F.col(text).isNotNull())
         .select(F.explode(F.array_append(found, F.lit(""))).alias("term"))
