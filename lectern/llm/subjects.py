@@ -32,7 +32,7 @@ from lectern.session import cut
 
 SENTENCES = 2
 BUCKETS, WIDTH, STEPS, WARM = 1 << 15, 16, 40, 12
-LABELLED, PER_BLOCK = 20_000, 1_250
+LABELLED, PER_BLOCK = 20_000, 2_500
 RATE_WARM, RATE, PULL = 0.2, 0.3, 0.002
 #: Added to every output when documents are scored; above 0 a sentence counts a little sooner than in training.
 LEAN = 1.5
@@ -86,7 +86,7 @@ def _sums(rows: np.ndarray, starts: np.ndarray) -> np.ndarray:
 
 
 class Block:
-    """Labelled documents of one partition, ready for gradients."""
+    """Labelled documents of one block, ready for gradients."""
 
     def __init__(self, texts: list[str], labels: np.ndarray):
         words = Words()
@@ -96,6 +96,9 @@ class Block:
         self.word_starts = np.concatenate([[0], np.array(words.ends, dtype=np.int64)[:-1]]) if words.ends else np.zeros(0, np.int64)
         self.doc_of = np.repeat(np.arange(len(texts)), np.diff(np.append(firsts, len(self.starts))))
         self.order = np.argsort(self.flat, kind="stable")
+        # a block is read again in each step
+        for name in ("flat", "starts", "word_starts", "doc_of", "order"):
+            setattr(self, name, getattr(self, name).astype(np.int32))
 
     def dump(self) -> bytes:
         out = io.BytesIO()

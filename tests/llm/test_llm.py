@@ -298,12 +298,14 @@ def test_heaviest_equals_all_permutations():
 def test_assignment_is_one_to_one_first(spark, monkeypatch, part):
     """In one task and by the auction: the largest total in round one, further versions in the rounds after it."""
     monkeypatch.setattr(matching, "PART", part)
+    monkeypatch.setattr(matching, "STEP", 0.04)
     schema = "left_id string, right_id string, confidence double"
     given = [("P1", "W1", 0.9), ("P1", "W2", 0.95), ("P2", "W2", 0.8), ("P3", "W3", 0.8), ("P3", "W4", 0.9), ("P4", "W5", 0.75), ("P5", "W5", 0.75)]
     got = {(r.left_id, r.right_id) for r in matching.assign(spark.createDataFrame(given, schema)).collect()}
     assert got - {("P5", "W5")} in ({("P1", "W1"), ("P2", "W2"), ("P3", "W3"), ("P3", "W4"), ("P4", "W5")}, {("P1", "W1"), ("P2", "W2"), ("P3", "W3"), ("P3", "W4")}) and len(got) == 5
     rng = random.Random(4)
-    pairs = {(f"l{rng.randrange(12)}", f"r{rng.randrange(14)}"): rng.randint(70, 100) / 100 for _ in range(40)}
+    n = 12 if part else 5
+    pairs = {(f"l{rng.randrange(n)}", f"r{rng.randrange(n + 1)}"): rng.randint(70, 100) / 100 for _ in range(3 * n)}
     rows = [(*k, v) for k, v in pairs.items()]
     got = matching.assign(spark.createDataFrame(rows, schema)).collect()
     assert {r.right_id for r in got} == {r for _, r in pairs} and len(got) == len({r for _, r in pairs})
@@ -313,7 +315,7 @@ def test_assignment_is_one_to_one_first(spark, monkeypatch, part):
     own = {}
     for r in got:
         own[r.left_id] = max(own.get(r.left_id, 0), pairs[r.left_id, r.right_id])
-    assert sum(own.values()) >= best - 0.01 * len(lefts) - 1e-9
+    assert sum(own.values()) >= best - (0 if part else 0.04 * len(lefts)) - 1e-9
     assert matching.assign(spark.createDataFrame([], schema)).count() == 0
 
 
