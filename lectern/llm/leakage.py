@@ -31,7 +31,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectern.session import cut
+from lectern.session import cut, discard
 
 RAREST, MEET, SLACK = 8, 2, 3
 COVERAGE, SHORTEST = 0.82, 5
@@ -250,7 +250,9 @@ def find_leaks(docs: DataFrame, doc_id: str, doc_text: str, items: DataFrame, it
     lead_rows = [(i, n, p) for i, places in enumerate(leads_of.values()) for n, p in places]
     leads = spark.createDataFrame(pd.DataFrame(lead_rows, columns=["term", "sentence", "place"]), "term int, sentence int, place int")
     texts = docs.select(F.col(doc_id).alias("doc"), F.col(doc_text).alias("text"))
-    found = cut(_candidates(build_postings(texts, "doc", "text", list(leads_of)), leads), "candidates")
+    postings = build_postings(texts, "doc", "text", list(leads_of))
+    found = cut(_candidates(postings, leads), "candidates")
+    discard(postings)
     places = found.groupBy("doc").agg(F.collect_set(F.struct("sentence", "at")).alias("places"))
     if found.count() <= SMALL:
         places = F.broadcast(places)

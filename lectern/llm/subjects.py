@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectern.session import cut
+from lectern.session import cut, discard
 
 SENTENCES = 2
 BUCKETS, WIDTH, STEPS, WARM = 1 << 15, 16, 40, 12
@@ -255,6 +255,7 @@ def fit_areas(docs: DataFrame, doc_id: str, text: str, labels: DataFrame, area:
             g[2] += share * np.frombuffer(r.b, np.float32)
         g[0] += np.float32(PULL / BUCKETS) * model.embeddings
         model.step(tuple(g), (RATE_WARM if warm else RATE) * (1 - 0.8 * step / steps))
+    discard(blocks, chosen)
     return model
 
 
