@@ -77,7 +77,8 @@ BUCKET = "cast(year - ((year % 5) + 5) % 5 as varchar) || '-' || cast(year - ((y
 def labelled_of(spark: SparkSession, d: str) -> DataFrame:
     """Valid papers with labels. Titles are labelled as they are scanned, where all cores take part, then reduced."""
     columns = ["dblp_key", "row_idx", "venue", "year", "title", "authors", "doi"]
-    return aggregates.last_wins(aggregates.labelled(spread(papers_of(spark, d).select(*columns))), ["dblp_key"], ["row_idx"], unique=True)
+    # by max_by: a semi-join would be moved below the labels, which would then be made by the few tasks after a shuffle
+    return aggregates.last_wins(aggregates.labelled(spread(papers_of(spark, d).select(*columns))), ["dblp_key"], ["row_idx"])
 
 
 # --- aggregates -----------------------------------------------------------------------------------------------------

@@ -47,7 +47,8 @@ def build(papers: DataFrame, venues: DataFrame, rules=None) -> dict:
 
     An empty table gives an empty report; a venue without papers is left out.
     """
-    rows = cut(aggregates.labelled(papers.select("row_idx", "venue", "year", "title", "authors"), rules=rules), "labelled")
+    wide = papers.select("row_idx", "venue", "year", "title", "authors").repartition(papers.sparkSession.sparkContext.defaultParallelism)
+    rows = cut(aggregates.labelled(wide, rules=rules), "labelled")  # tests of titles are dear, so all cores take part
     as_dicts = lambda df: [r.asDict(True) for r in df.collect()]
     nested: dict[str, dict] = {}
     for r in aggregates.count_by(rows, "venue", "year").orderBy("venue", "year").collect():
