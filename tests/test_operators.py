@@ -212,6 +212,19 @@ def test_paged_source_to_papers(spark):
     assert crawl.parse_hits(pages, True, True).count() == 2  # the second copy of k1 falls to the first
 
 
+def test_options_keep_their_meaning_whatever_their_case(spark):
+    """Spark lowers the keys of options: page size, pauses, age of the cache and agent must still be found."""
+    http.register(spark)
+    wanted = json.dumps(["a#12", "b#9!5", "c#5"])
+    raw = spark.read.format("lectern_pages").options(url="http://api", queries=wanted, opener="lectern.sources.offline:paged", delay="0", pageSize="5").load()
+    pages = sorted((r.query, r.offset, r.body is not None, r.requests, r.failed) for r in raw.collect())
+    assert pages == [("a#12", 0, True, 1, 0), ("a#12", 5, True, 1, 0), ("a#12", 10, True, 1, 0), ("b#9!5", 0, True, 1, 0), ("b#9!5", 5, False, 1, 1), ("c#5", 0, True, 1, 0)]
+    given = {"maxDelay": "9", "ttlDays": "2", "userAgent": "me"}
+    for source in (http.PagedSource, http.UrlSource, http.LookupSource):
+        made = http.client_of(source({k.lower(): v for k, v in given.items()}).reader(None).options)
+        assert (made.longest, made.ttl_days, made.agent) == (9.0, 2.0, "me")
+
+
 def test_range_treats_unknown_years_as_outside(spark):
     df = spark.createDataFrame([(None,), (0,), (1999,), (2005,)], "year int")
     assert [r.year for r in crawl.in_range(df, 1990, 2000).collect()] == [1999]
