@@ -4,7 +4,9 @@ import bisect
 import itertools
 import random
 import re
+import time
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -12,6 +14,7 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from lectern import session
 from lectern.llm import leakage, matching, packing, plainform, residue, subjects, terms, truncation
 
 quick = settings(max_examples=20, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
@@ -184,6 +187,45 @@ def test_a_shared_opening_is_one_offer(spark):
     assert got == {100 + i: "copy" for i in range(5)}
 
 
+def test_slices_see_all_bands_and_all_pairs(spark, cut_table, monkeypatch):
+    """Looked up in slices of the bands and aligned in slices of the copies, every row has the verdict that it has in one go."""
+    df, _ = cut_table
+    rows = lambda: sorted(tuple(r) for r in truncation.mark_cut(df, "id", "source", "text").collect())
+    whole = rows()
+    monkeypatch.setattr(truncation, "SLICED", 0)
+    assert rows() == whole
+    monkeypatch.setattr(truncation, "ASKED", 1 << 16)  # a table that holds a few bands of the texts that ask
+    monkeypatch.setattr(truncation, "ROOM", 64)
+    assert rows() == whole
+    texts = [[f"v{(i * 7 + j) % 50}" for j in range(40)] for i in range(5)]
+    every = set(zip(*(x.tolist() for x in truncation.ladder_bands(texts, False)), strict=True))
+    parts = [set(zip(*(x.tolist() for x in truncation.ladder_bands(texts, False, some)), strict=True)) for some in (range(9), range(9, 26))]
+    assert parts[0] | parts[1] == every and not parts[0] & parts[1]
+
+
+def test_tables_of_texts_go_when_they_are_used_up(spark, cut_table):
+    """Of all scratch tables only the facts on the endings and the votes are there when the verdicts are read."""
+    df, _ = cut_table
+    folder = Path(session.scratch_dir(spark))
+    tables = lambda: {p.name.split("-")[1] for p in folder.iterdir() if p not in there}
+    there = set(folder.iterdir())
+    kept = session.cut(df, "kept", lean=True)
+    marked = truncation.mark_cut(kept, "id", "source", "text", spent=kept)
+    assert tables() == {"facts", "steps"}
+    assert marked.count() == df.count()
+
+
+def test_what_a_lean_cut_shuffled_goes_with_it(spark):
+    store = spark.sparkContext._jsc.sc().env().blockManager().diskBlockManager()
+    files = lambda: {f for f in store.getAllFiles().mkString("\n").split("\n") if "shuffle_" in f}
+    there = files()
+    out = session.cut(spark.range(1000).repartition(4, "id"), "lean", lean=True)
+    end = time.monotonic() + 20
+    while files() - there and time.monotonic() < end:
+        time.sleep(0.1)
+    assert not files() - there and out.count() == 1000
+
+
 # --- 4 residue ------------------------------------------------------------------------------------------------------
 
 
