@@ -370,6 +370,23 @@ def test_one_title_in_three_decades(spark):
     assert {(r.left_id, r.right_id) for r in rows} == {("k1980", "0"), ("k1995", "1"), ("k2010", "2"), ("s1", "11"), ("s2", "12")}
 
 
+@pytest.mark.parametrize("chunk", [matching.CHUNK, 7])
+def test_no_alike_title_is_lost_by_the_window(spark, monkeypatch, chunk):
+    """Works whose paper is far away in every order: a cut title without an early word, slips in two words, short titles."""
+    monkeypatch.setattr(matching, "CHUNK", chunk)
+    full = ["Explicit Qubit Registers via Gate Teleportation: From Spectral Gap of the Hamiltonian to Magic States", "Robust Sekli for Expander Codes via Information Cost Arguments", "Beyond Klousand"]
+    left = [(f"k{i}", t, 2001, None) for i, t in enumerate(full)]
+    left += [(f"a{i}", f"Explicit Registers via Gate Teleportation: From Spf{i:02d}", 2001, None) for i in range(40)]
+    left += [(f"b{i}", f"Roust Qu{i:02d}li for Expander Codes via Information Cost Arrguments", 2001, None) for i in range(40)]
+    right = [(0, "Explicit Registers via Gate Teleportation: From Spe...", 2001, None), (1, "Roust Sekli for Expander Codes via Information Cost Arrguments", 2001, None), (2, "Bayond Klowsand", 2001, None)]
+    a = spark.createDataFrame(left, "k string, t string, y int, d string")
+    b = spark.createDataFrame(right, "k bigint, t string, y int, d string")
+    got = {(r.left_id, r.right_id) for r in matching.match_pairs(a, b, ROLES, ROLES, window=1).collect()}
+    record = lambda t, m=False: matching.Record(" ".join(matching.title_tokens(t)), 2001, "", m, False)
+    assert got == {(k, str(n)) for k, t, *_ in left for n, u, *_ in right if matching.score_pair(record(t), record(u, u.endswith("..."))) >= matching.BOUND}
+    assert {("k0", "0"), ("k1", "1"), ("k2", "2")} <= got
+
+
 def test_a_frequent_doi_is_dealt_out_whole(spark, monkeypatch):
     monkeypatch.setattr(matching, "PAIRS", 10)
     a = spark.createDataFrame([(f"k{i}", f"Part {i}", 2000, "10.1234/a") for i in range(6)], "k string, t string, y int, d string")
