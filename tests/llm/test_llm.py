@@ -376,8 +376,10 @@ def test_no_alike_title_is_lost_by_the_window(spark, monkeypatch, chunk):
     monkeypatch.setattr(matching, "CHUNK", chunk)
     full = ["Explicit Qubit Registers via Gate Teleportation: From Spectral Gap of the Hamiltonian to Magic States", "Robust Sekli for Expander Codes via Information Cost Arguments", "Beyond Klousand"]
     left = [(f"k{i}", t, 2001, None) for i, t in enumerate(full)]
-    left += [(f"a{i}", f"Explicit Registers via Gate Teleportation: From Spf{i:02d}", 2001, None) for i in range(40)]
-    left += [(f"b{i}", f"Roust Qu{i:02d}li for Expander Codes via Information Cost Arrguments", 2001, None) for i in range(40)]
+    # in each of the orders some of these stand between
+    between = ["Explicit Registers via Gate Teleportation: From Spa{}", "Spf{}", "Teleportation Kingdoms{} Codes", "Explicit R{}", "Robv{}", "Arh{} Cost", "Arguz{} Codes", "Information Arr{}", "Rlst{}", "Klov{} Bb{}", "Bb{} Klov{}", "Bynd Klt{}"]
+    left += [(f"{t}{i}", t.replace("{}", f"{i:02d}"), 2001, None) for t in between for i in range(4)]
+    left += [(f"b{i}", f"Roust Qu{i:02d}li for Expander Codes via Information Cost Arrguments", 2001, None) for i in range(4)]
     right = [(0, "Explicit Registers via Gate Teleportation: From Spe...", 2001, None), (1, "Roust Sekli for Expander Codes via Information Cost Arrguments", 2001, None), (2, "Bayond Klowsand", 2001, None)]
     a = spark.createDataFrame(left, "k string, t string, y int, d string")
     b = spark.createDataFrame(right, "k bigint, t string, y int, d string")
